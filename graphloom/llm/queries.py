@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, packing, tokenbin, tokencount, urlfilter
+from graphloom.llm import chat, neardup, packing, tokenbin, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_file_digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, threshold=80)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op5_token_orc": op5_token_orc,
+        "op6_minhash_hamming": op6_minhash_hamming,
         "op7_token_counts": op7_token_counts,
         "op9_url_filter": op9_url_filter,
         "op10_pattern_packing": op10_pattern_packing,
