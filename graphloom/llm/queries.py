@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, neardup, packing, tokenbin, tokencount, urlfilter
+from graphloom.llm import chat, langid, neardup, packing, quality, tokenbin, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(messages))
 
 
+def op2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_all(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_file_digests(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,8 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_isolation_forest": op2_isolation_forest,
+        "op3_ecoc_language": op3_ecoc_language,
         "op5_token_orc": op5_token_orc,
         "op6_minhash_hamming": op6_minhash_hamming,
         "op7_token_counts": op7_token_counts,
