@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, langid, neardup, packing, quality, tokenbin, tokencount, urlfilter
+from graphloom.llm import chat, langid, neardup, packing, quality, suffix, tokenbin, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op8_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_spans(_table(spark, sf_dir, "documents")).drop("tie")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), urlfilter.QUERY_RULES)
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_orc": op5_token_orc,
         "op6_minhash_hamming": op6_minhash_hamming,
         "op7_token_counts": op7_token_counts,
+        "op8_sparse_suffix": op8_sparse_suffix,
         "op9_url_filter": op9_url_filter,
         "op10_pattern_packing": op10_pattern_packing,
     }
