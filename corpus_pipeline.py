@@ -1,21 +1,51 @@
-"""The corpus pipeline: stages over documents, each one operator, written and read again between stages."""
+"""The corpus pipeline: stages over documents, each one operator, written and read again between stages.
+
+Each stage works on all that its predecessor kept and returns the columns of ``documents``; the last packs what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import packing
+from graphloom.llm import decontam, langid, neardup, packing, suffix
 from graphloom.llm.common import materialize
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter, or between languages, go."""
+    return langid.accepted(docs, langid.train(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup on five-word shingles at 0.8: one document of each group stays."""
+    return neardup.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: passages of fifty words or more stay where they come first."""
+    return suffix.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold an item, or a paraphrase of it, go."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of what is left."""
     return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", pack_sequences)]
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("best-fit packing", pack_sequences),
+]
 
-#: SQL can't express the tokenizers and fitted models of the stages; tests hold each stage against a brute-force version.
+#: SQL can't express the fitted models and tokenizers of the stages; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

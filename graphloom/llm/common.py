@@ -74,8 +74,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+def schema_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import column, map_batches, small_batches
+from graphloom.llm.common import column, map_batches, schema_of, small_batches
 
 DIM = 1 << 12
 UNKNOWN = "und"
@@ -153,21 +153,31 @@ def train(docs: DataFrame, per_lang: int = 150, held_out: Column | None = None)
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score and ambiguous of every row (or, with ``keep``, those columns instead of doc_id)."""
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score and ambiguous of every row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x bits, whatever the corpus
-    names = keep or ["doc_id"]
-    fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
 
     def predict(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = shared.value.predict(column(batch, "text").to_pylist())
         return pa.RecordBatch.from_arrays(
-            [*(column(batch, n) for n in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
-            names=[*names, "lang_pred", "score", "ambiguous"],
+            [column(batch, "doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
+            names=["doc_id", "lang_pred", "score", "ambiguous"],
         )
 
-    return map_batches(docs.select(*dict.fromkeys([*names, "text"])), predict, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return map_batches(docs.select("doc_id", "text"), predict, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that have a language and are not ambiguous, with their columns as they are."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = shared.value.predict(column(batch, "text").to_pylist())
+        return batch.filter(pa.array([lang != UNKNOWN and not ambiguous for lang, _, ambiguous in found], pa.bool_()))
+
+    return map_batches(docs, keep, schema_of(docs))
 
 
 def predict_all(docs: DataFrame, per_lang: int = 150) -> DataFrame:

@@ -193,3 +193,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> D
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
+    """``docs`` with one document of each group, the one with the smallest doc_id, its columns as they are; of rows
+    that share this doc_id, one. Rows with a null doc_id stay."""
+    verdict = near_duplicates(docs, shingle, threshold)
+    gone = materialize(verdict.filter("NOT kept").select("doc_id").distinct(), "gone")
+    kept = docs.join(hinted(gone, 64), "doc_id", "left_anti").select(docs.columns)
+    twice = materialize(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    single = kept.join(hinted(twice, 64), "doc_id", "left_anti").select(docs.columns)
+    repeated = kept.join(hinted(twice, 64), "doc_id", "left_semi").withColumn("__graphloom_rank", rank)
+    return single.unionByName(repeated.filter("__graphloom_rank = 1").select(docs.columns))

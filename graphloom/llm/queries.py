@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, langid, neardup, packing, quality, suffix, tokenbin, tokencount, urlfilter
+from graphloom.llm import chat, decontam, langid, neardup, packing, quality, suffix, tokenbin, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_all(_table(spark, sf_dir, "documents"))
 
 
+def op4_latent_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_file_digests(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": op1_chat_format,
         "op2_isolation_forest": op2_isolation_forest,
         "op3_ecoc_language": op3_ecoc_language,
+        "op4_latent_semantic": op4_latent_semantic,
         "op5_token_orc": op5_token_orc,
         "op6_minhash_hamming": op6_minhash_hamming,
         "op7_token_counts": op7_token_counts,
