@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, column, encoded, gram_hashes, hinted, map_batches, materialize, mix64, semi_by_id, small_batches, word_hashes
+from graphloom.llm.common import U64, column, encoded, gram_hashes, hinted, map_batches, materialize, mix64, schema_of, semi_by_id, small_batches, word_hashes
 
 MIN_WORDS, GRAM = 50, 8
 _BASE = U64(0x9E3779B97F4A7C55)
@@ -122,10 +122,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     docs = docs.select("doc_id", "text")
     place = F.struct("doc_id", "tie", "at")
     kept = materialize(suffixes(docs, min_words, gram), "suffixes")
-    shared = materialize(kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "shared-grams")
-    near = materialize(semi_by_id(kept, shared, ["gram"]), "neighbours")
-    blocks = materialize(near.groupBy("gram", "block").agg(F.min(place).alias("first")), "blocks")
-    compared = near.join(blocks, ["gram", "block"])
+    # Shuffled at any size; a k-gram that many documents share is split by the adaptive skew join.
+    blocks_differ = (F.min("block") != F.max("block")).alias("open")
+    shared = materialize(kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), blocks_differ).filter("n > 1").drop("n"), "shared-grams")
+    near = materialize(kept.join(shared.hint("merge"), "gram"), "neighbours")
+    firsts = near.groupBy("gram", "block").agg(F.min(place).alias("first"))
+    compared = materialize(near.join(firsts.hint("merge"), ["gram", "block"]), "compared")
 
     def spans(rows: DataFrame, size) -> DataFrame:
         own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
@@ -135,13 +137,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
         )
 
     whole = spans(compared, F.col("windows") + (min_words - 1))
-    open_grams = blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    runs = compared.filter(place == F.col("first")).join(open_grams, "gram", "left_semi").distinct()
-    runs = materialize(runs.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("at", "windows")).alias("runs")), "open-runs")  # of one text
-    texts = _with_tie(docs).join(hinted(runs, 1024), ["doc_id", "tie"])
+    runs = compared.filter(F.col("open") & (place == F.col("first")))
+    runs = materialize(runs.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("at", "windows")).alias("runs")), "open-runs")  # of one text
+    texts = semi_by_id(_with_tie(docs), runs.select("doc_id", "tie"), ["doc_id", "tie"]).join(runs.hint("merge"), ["doc_id", "tie"])
     windows = materialize(windows_of(texts, min_words), "windows")
     firsts = windows.groupBy("print").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    single = spans(windows.join(firsts, "print"), F.lit(min_words))
+    single = spans(windows.join(firsts.hint("merge"), "print"), F.lit(min_words))
     found = whole.unionByName(single).filter("end > start")
 
     text = Window.partitionBy("doc_id", "tie")
@@ -176,7 +177,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
     marked = docs.withColumn(tie, F.xxhash64("text"))
     joined = marked.join(hinted(listed, 256), (marked["doc_id"] == listed["__graphloom_id"]) & (marked[tie] == listed[tie]), "left")
     joined = joined.select(*(marked[f"`{n}`"] for n in names), listed[cuts])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = schema_of(docs)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts, keep = [], []
