@@ -33,7 +33,7 @@ def tokenize(c: Column) -> Column:
 
 def unique_in_order(names: Column) -> Column:
     """Trimmed names without empty ones and "other", the first of each kept."""
-    return F.array_distinct(F.filter(F.transform(names, F.trim), lambda n: (n != "") & (F.lower(n) != "other")))
+    return F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: (n != "") & (F.lower(n) != "other")))
 
 
 def split_api_names(c: Column) -> Column:

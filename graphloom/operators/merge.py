@@ -62,7 +62,8 @@ def fan_in_threshold(rows: DataFrame, column: str = "fan_in") -> DataFrame:
     values = rows.select(F.greatest(F.lit(0), F.coalesce(F.col(column), F.lit(0))).cast("long").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     run = values.select("v", F.sum("n").over(Window.orderBy("v")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
     hit = run.filter(F.col("upto") > F.floor(F.lit(0.7).cast("double") * (F.col("total") - 1)))
-    return hit.agg(F.coalesce(F.greatest(F.lit(1).cast("long"), F.min("v")), F.lit(0).cast("long")).alias("threshold"))
+    low = F.min("v")
+    return hit.agg(F.when(low.isNull(), 0).otherwise(F.greatest(F.lit(1), low)).cast("long").alias("threshold"))
 
 
 API_RATIO_MIN, API_COMBINED_MIN, API_OVERLAP_MIN = 86.0, 72.0, 0.60

@@ -35,10 +35,10 @@ SYSTEM_INCLUDE = "/usr/include"
 def read_compile_db(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a JSON array file with their positions; anything but an array of objects is an error."""
     raw = spark.read.text(path, wholetext=True)
-    checked = raw.select(F.explode(F.from_json("value", f"array<{COMPILE_ENTRIES.simpleString()}>")).alias("e"))
-    if not checked.take(1) and raw.filter(~F.trim("value").startswith("[")).take(1):
+    if raw.filter(~F.ltrim("value").startswith("[")).take(1):
         raise ValueError("a compile database is a JSON list")
-    return checked.select(F.monotonically_increasing_id().alias("ord"), "e.*")
+    entries = raw.select(F.explode(F.from_json("value", f"array<{COMPILE_ENTRIES.simpleString()}>")).alias("e"))
+    return entries.select(F.monotonically_increasing_id().alias("ord"), "e.*")
 
 
 def absolute(path: str, base: str) -> str:
