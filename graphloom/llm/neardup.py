@@ -7,11 +7,12 @@ indexed under every key that leaves one of its slots out, so such a pair shares
 is missed. A pair at similarity 0.8 agrees in a chunk but for one slot with probability 0.655, so it escapes all
 ten chunks once in 40,000 times. Every candidate link is confirmed on the full sets.
 
-Work on a hot bucket stays linear. Documents with the same set are one node. Of each key's bucket a node first meets
-only the smallest node (a running minimum); confirmed meetings merge most of a group. What is left are nodes that
-share a key but not yet a component. For those the exact prefix rule applies: sets with 100 |A & B| >= t |A | B| share
-one of the |A| - ceil(t |A| / 100) + 1 rarest shingles of each, so only shingles that occur twice among them can
-link, and only nodes outside the bucket's largest component look for partners.
+Work on a hot bucket does not go with its square. Documents with the same set are one node. Of each bucket a node first
+meets only the hub, the node that shares most keys with others; confirmed meetings merge most of a group. What is left are
+nodes that share a key but not yet a component. For those the exact prefix and position rules apply: with shingles from
+rare to frequent, sets with 100 |A & B| >= t |A | B| share one of the first |A| - ceil(t |A| / 100) + 1 of each, and
+behind the first common one enough are left in both; a shingle that occurs once links nothing. Only nodes outside the
+bucket's largest component look for partners.
 
 Defined results: null text, text without words: the empty set, linked with nothing; fewer words than a shingle has:
 the whole sequence is the one shingle. Rows that share a doc_id are one node, whatever their texts. A null doc_id
@@ -139,14 +140,18 @@ def _rare_pairs(rows: DataFrame, docs: DataFrame, shingle: int, threshold: int)
     # A node whose doc_id has several texts: the union of its shingles, with the smallest size, keeps the rule safe.
     each = map_batches(texts, explode, "shingle long, node long, size long").groupBy("shingle", "node").agg(F.min("size").alias("size"))
     counted = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
+    # At least this many common shingles with a set of size n; with any set at all: as for one of the size threshold % of it.
+    enough = lambda x, y: F.ceil(threshold * (x + y) / F.lit(100.0 + threshold) - F.lit(1e-9))
     need = F.ceil(F.col("size") * threshold / F.lit(100.0) - F.lit(1e-9))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
+    at = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
     total = F.count(F.lit(1)).over(Window.partitionBy("node"))
-    prefix = counted.select("shingle", "node", "df", rank.alias("rank"), (total - need + 1).alias("length")).filter("rank <= length AND df > 1")
-    known = materialize(prefix.select("shingle", "node").join(rows, "node"), "prefixes")
-    seek = known.filter("seeks").select("shingle", F.col("node").alias("x"), F.col("comp").alias("comp_x"))
-    pairs = seek.join(known.select("shingle", "node", "comp"), "shingle").filter("comp <> comp_x")
-    return pairs.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
+    placed = counted.select("shingle", "node", "df", "size", at.alias("at"), total.alias("total")).filter((F.col("at") <= F.col("total") - need + 1) & (F.col("df") > 1))
+    known = materialize(placed.join(rows, "node").select("shingle", "node", "comp", "seeks", "size", (F.col("total") - F.col("at") + 1).alias("left")), "prefixes")
+    seek = known.filter("seeks").select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("node", "comp", "size", "left")))
+    # The first common shingle of a similar pair has enough shingles behind it in both sets.
+    fits = F.least("left", "left_x") >= enough(F.col("size"), F.col("size_x"))
+    pairs = seek.join(known.hint("merge"), (seek["shingle"] == known["shingle"]) & (F.col("comp") != F.col("comp_x")) & fits)
+    return pairs.select(F.greatest("node_x", "node").alias("a"), F.least("node_x", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
@@ -158,15 +163,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> D
     nodes = materialize(usable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.max("sig").alias("sig")), "nodes")
     member = materialize(usable.select("doc_id", "fp1", "fp2").distinct().join(nodes.drop("sig"), ["fp1", "fp2"]), "members")
 
-    # Buckets: a node meets its key's smallest node; a bucket of one node is gone after this.
-    by_key = Window.partitionBy("key").orderBy("node")
-    first, following = F.first("node").over(by_key), F.lead("node").over(by_key)
-    buckets = materialize(
-        index_keys(nodes).select("key", "node", first.alias("head"), following.alias("following"))
-        .filter("node <> head OR following <> node").select("key", "node", "head"),
-        "buckets",
-    )
-    nearest = buckets.filter("node <> head").groupBy(F.col("node").alias("a")).agg(F.min("head").alias("b"))
+    # Buckets of two nodes or more. A node first meets the hub of its buckets: the node that meets most others, which in a
+    # group of copies is the one that they were made from, or close to it.
+    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    buckets = materialize(index_keys(nodes).withColumn("n", size).filter("n > 1"), "buckets")
+    degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = buckets.join(degree, "node").select("key", "node", F.struct("degree", (-F.col("node")).alias("back")).alias("rank"))
+    hubs = materialize(ranked.groupBy("key").agg(F.max("rank").alias("hub")), "hubs")
+    met = buckets.join(hubs, "key").filter(F.col("node") != -F.col("hub.back"))
+    nearest = met.groupBy(F.col("node").alias("a")).agg(F.max("hub").alias("hub")).select("a", (-F.col("hub.back")).alias("b"))
     links = materialize(confirm(materialize(nearest, "nearest"), docs, shingle, threshold), "confirmed")
     # Rows with one doc_id and different sets are one node.
     lowest = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top").drop("top")
