@@ -3,7 +3,7 @@
 A document is its ids and the end id, cut into pieces of ``capacity`` tokens only where it is longer. All planning
 happens on the histogram of piece lengths (at most ``capacity`` entries, whatever the corpus):
 
-1. enumerate patterns of two to four pieces that fill a sequence exactly, from the lengths that occur;
+1. enumerate patterns of up to four pieces that fill a sequence, from the lengths that occur;
 2. fit repeat counts x >= 0 to the histogram by least squares (cyclic coordinate descent on the sparse patterns);
 3. round down, never using more pieces than there are;
 4. pack what remains by best fit, longest pieces first, whole groups of equal sequences at a time.
@@ -19,7 +19,7 @@ nothing; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -30,35 +30,37 @@ from graphloom.llm.common import column, map_batches, materialize, small_batches
 from graphloom.llm.vocab import tokenizer_path, word_ids
 
 TOKENIZER, END_ID, CAPACITY, SALTS = "word_bpe_49k.json", 0, 2048, 64
-#: Of the histogram, the share that patterns are fitted to (the rest keeps short pieces for best fit), sweeps of
-#: the fit, and patterns tried for each longest piece.
-FIT_SHARE, SWEEPS, PER_LENGTH = 0.9, 60, 6
+#: Of the histogram, the shares that patterns are fitted to (the rest keeps short pieces for best fit), sweeps of
+#: the fit, and patterns kept for each longest piece.
+FIT_SHARES, SWEEPS, PER_LENGTH, SPARE = (0.9, 0.75, 0.5, 0.25, 0.1, 0.05), 40, 5, 500
 
 Group = tuple[tuple[int, ...], int]  # lengths in order, repeats
 
 
 def patterns(hist: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """Exact patterns of two to four lengths: for each longest length, the ones made of the most frequent others."""
+    """Patterns of two to four lengths, each closed by the longest length that still fits, that leave at most 1/SPARE of a
+    sequence empty: for each longest length, with the longest partner, and with the most frequent ones."""
     there = [int(n) for n in np.flatnonzero(hist[:capacity]) if n]
-    known, out = set(there), set()
+    out: set[tuple[int, ...]] = set()
     frequent = sorted(there, key=lambda n: (-hist[n], n))[:64]
+
+    def closed(parts: tuple[int, ...]) -> tuple[int, ...]:
+        i = bisect_right(there, min(capacity - sum(parts), parts[0])) - 1
+        return tuple(sorted((*parts, there[i]), reverse=True)) if i >= 0 else parts
+
     for a in there:
-        rest, found = capacity - a, 0
-        if rest in known and rest <= a:
-            out.add((a, rest))
-        for b in frequent:
-            if found >= PER_LENGTH:
-                break
-            if b <= a and rest - b in known and rest - b <= b:
-                out.add(tuple(sorted((a, b, rest - b), reverse=True)))
+        out.add(closed((a,)))
+        found, spare = 0, []
+        for b in (b for b in frequent if b <= min(a, capacity - a)):
+            p = closed((a, b))
+            if sum(p) == capacity and found < PER_LENGTH:
+                out.add(p)
                 found += 1
-        for i, b in enumerate(frequent[:16]):
-            for c in frequent[i : i + 8]:
-                d = rest - b - c
-                if found < 2 * PER_LENGTH and d in known and max(b, c, d) <= a:
-                    out.add(tuple(sorted((a, b, c, d), reverse=True)))
-                    found += 1
-    return sorted(out, reverse=True)
+            spare.append(p)
+        out.update(sorted(spare, key=sum, reverse=True)[:2])
+        fours = [closed((a, b, c)) for i, b in enumerate(frequent[:12]) if b <= a for c in frequent[i : i + 6] if c <= a and a + b + c <= capacity]
+        out.update(sorted(fours, key=sum, reverse=True)[:PER_LENGTH])
+    return sorted((p for p in out if sum(p) >= capacity - capacity // SPARE), reverse=True)
 
 
 def fit(hist: np.ndarray, pats: list[tuple[int, ...]], sweeps: int = SWEEPS) -> np.ndarray:
@@ -117,13 +119,10 @@ def best_fit(hist: np.ndarray, capacity: int) -> list[Group]:
     return [(p, c) for groups in open_.values() for p, c in groups]
 
 
-def plan(hist: np.ndarray, capacity: int = CAPACITY) -> list[Group]:
-    """Groups of equal sequences that use up the histogram (index: length)."""
-    left = np.array(hist, np.int64)
-    out: list[Group] = [((capacity,), int(left[capacity]))] if left[capacity] else []
-    left[capacity] = 0
-    pats = patterns(left, capacity)
-    for p, x in sorted(zip(pats, fit(left * FIT_SHARE, pats), strict=True), key=lambda t: -t[1]):
+def _fitted(left: np.ndarray, pats: list[tuple[int, ...]], share: float, capacity: int) -> list[Group]:
+    """Fit, round down, and pack what is left."""
+    left, out = left.copy(), []
+    for p, x in sorted(zip(pats, fit(left * share, pats), strict=True), key=lambda t: (-sum(t[0]), -t[1])):
         repeats = min(int(x), min(int(left[n]) // p.count(n) for n in set(p)))
         if repeats > 0:
             out.append((p, repeats))
@@ -132,6 +131,24 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY) -> list[Group]:
     return out + best_fit(left, capacity)
 
 
+def plan(hist: np.ndarray, capacity: int = CAPACITY) -> list[Group]:
+    """Groups of equal sequences that use up the histogram (index: length): of the fits to several shares of it, the one
+    with the fewest sequences."""
+    left = np.array(hist, np.int64)
+    full: list[Group] = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    least = -(-int((left * np.arange(len(left))).sum()) // capacity)
+    pats, best, fewest = patterns(left, capacity), [], None
+    for share in FIT_SHARES:
+        groups = _fitted(left, pats, share, capacity)
+        n = sum(c for _, c in groups)
+        if fewest is None or n < fewest:
+            best, fewest = groups, n
+        if fewest <= least:
+            break
+    return full + best
+
+
 def slots(groups: list[Group], capacity: int) -> dict[str, np.ndarray]:
     """The plan as ranges of ranks: rows sorted by (length, first rank) with the first sequence and the offset."""
     used, first_sequence, rows = np.zeros(capacity + 1, np.int64), 0, []

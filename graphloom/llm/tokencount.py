@@ -25,7 +25,7 @@ from graphloom.llm.vocab import _LOADED, CACHE_WORDS, Memory, tokenizer_path
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 SPACE = "▁"
-JOINED = "\ue000"  # before a unit that has neither a space nor a line feed before it
+JOINED = "\n\n"  # before a unit that has neither a space nor a line feed before it; no unit of a text begins so
 _STOP = re.compile(r"[.,](?=[ \n])(?<=[A-Za-zÀ-ÖØ-öø-ÿ].)")
 
 
@@ -50,18 +50,20 @@ class UnitCounts(Memory):
         return len(self.library.encode(text, num_threads=1))
 
     def ask(self, unit: str) -> int:
+        if unit.startswith(JOINED):
+            return self._raw("\n" + unit[len(JOINED) :]) - 2
         if unit.startswith("\n"):  # the library puts its space mark first, which this unit does not have
             return self._raw(unit) - 1
-        if unit.startswith(JOINED):
-            return self._raw("\n" + unit[1:]) - 2
         return self._raw(unit) if unit else 1
 
     def total(self, text: str | None) -> int:
         """Tokens of a whole text: the last entry of its running sums. Where no piece of the vocabulary has a letter
         before a full stop or comma, those are units too, so fewer distinct units are asked for."""
-        if text and self.stops and JOINED not in text:
-            text = _STOP.sub(" " + JOINED + r"\g<0>", text)
-        sums = list(accumulate(map(self.__getitem__, split_units(text or "")), initial=0))
+        if text and self.stops and SPACE not in text and "  " not in text and text[0] != " ":
+            units = _STOP.sub(" " + JOINED + r"\g<0>", text.replace("\n", " \n")).split(" ")
+        else:
+            units = split_units(text or "")
+        sums = list(accumulate(map(self.__getitem__, units), initial=0))
         return sums[-1]
 
     def _pair(self, left: str, right: str) -> bool:
