@@ -120,7 +120,7 @@ def _hash_piece(arr: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndar
             h, piece = U64(0), arr[starts[i] : ends[i]]
             for j in range(0, len(piece), 0x1000):
                 part = table[piece[j : j + 0x1000]] * _PLACE[: len(piece[j : j + 0x1000])]
-                h = mix64(np.array([h * _STEP + part.sum(dtype=U64)], U64))[0]
+                h = mix64(np.array([h], U64) * _STEP + part.sum(dtype=U64))[0]
             sums[i] = h
     return mix64(sums + sizes.astype(U64) * _STEP), starts
 

@@ -132,7 +132,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     def spans(rows: DataFrame, size) -> DataFrame:
         own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
         return rows.filter(place != F.col("first")).select(
-            "doc_id", "tie", F.when(own, F.greatest(F.col("at"), F.col("first.at") + size)).otherwise(F.col("at")).alias("start"),
+            "doc_id", "tie", F.when(own, F.greatest(F.col("at"), F.col("first.at") + min_words)).otherwise(F.col("at")).alias("start"),
             (F.col("at") + size).alias("end"), F.col("first.doc_id").alias("source"),
         )
 
