@@ -95,7 +95,7 @@ class Model:
 
 
 #: Loss to the runner-up, in parts of the bits' total trust, under which a text is ambiguous.
-AMBIGUOUS = 0.02
+AMBIGUOUS = 0.005
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 5, rounds: int = 80) -> Model:

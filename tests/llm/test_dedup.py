@@ -170,3 +170,12 @@ def test_cut(spark, docs_of, words):
     assert suffix.repeated_spans(out).count() == 0 and suffix.without_repeats(df.limit(0)).count() == 0
     same = docs_of([p, p, p], [4, 4, None])
     assert suffix.repeated_spans(same).count() == 0
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    kept = common.materialize(spark.range(5), "probe")
+    assert kept.count() == 5
+    common.drop_scratch(spark)
+    with pytest.raises(Exception):
+        common.materialize(spark.range(5), "probe").sparkSession.read.parquet(kept.inputFiles()[0]).count()
+    assert common.materialize(spark.range(5), "probe").count() == 5
