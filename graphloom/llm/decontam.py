@@ -150,6 +150,8 @@ class Items:
     answers: list[tuple[dict[int, int], int]]
     vectors: np.ndarray
     space: np.ndarray
+    vocabulary: np.ndarray  # all items' words, sorted
+    has: np.ndarray  # items x (vocabulary and one column for other words): whether the item has the word
 
     @classmethod
     def build(cls, rows: list, space: np.ndarray) -> Items:
@@ -166,7 +168,11 @@ class Items:
             answers.append((_masks(tail), len(tail)))
             v = project(words[a:b], np.zeros(b - a, np.int64), 1, space)[0]
             vectors.append(v / max(float(np.linalg.norm(v)), 1e-12))
-        return cls(ids, sizes, masks, answers, np.array(vectors, np.float32).reshape(len(ids), space.shape[1]), space)
+        vocabulary = np.array(sorted({w for m in masks for w in m}), U64)
+        has = np.zeros((len(ids), len(vocabulary) + 1), bool)
+        for j, m in enumerate(masks):
+            has[j, np.searchsorted(vocabulary, np.array(list(m), U64))] = True
+        return cls(ids, sizes, masks, answers, np.array(vectors, np.float32).reshape(len(ids), space.shape[1]), space, vocabulary, has)
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, float, float, float]]:
         """(text number, item number, first word of the passage, cosine, LCS share, answer share) of the leaks, the best
@@ -178,6 +184,8 @@ class Items:
         for a, b in _chunks(first):
             own, start = words[first[a] : first[b]], first[a : b + 1] - first[a]
             block, text_no, place = blocks_of(start)
+            known = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+            known = np.where(self.vocabulary[known] == own, known, len(self.vocabulary))
             for lo in range(0, len(text_no), 4096):  # with one block more, for the last passage
                 hi = min(len(text_no), lo + 4096)
                 end = min(len(text_no), hi + 1)
@@ -193,7 +201,10 @@ class Items:
                     at = int(place[lo + i]) * BLOCK
                     size = self.sizes[j]
                     w0, w1 = int(start[t]) + max(0, at - size), min(int(start[t + 1]), int(start[t]) + at + 2 * BLOCK + size)
-                    around = own[w0:w1].tolist()
+                    hit = self.has[j, known[w0:w1]]  # words of the item: no fewer than the common subsequence has
+                    if np.count_nonzero(hit) < LCS_WITH_ANSWER * size:
+                        continue
+                    around = own[w0:w1][hit].tolist()
                     share = lcs_length(self.masks[j], size, around) / size
                     if share < LCS_WITH_ANSWER:
                         continue
