@@ -5,8 +5,10 @@ TF-IDF vectors over ``DIM`` signed hash buckets. One pass over all texts makes,
 document frequencies and a random sketch of the passage matrix (every passage is added with a random sign to one of
 ``ROWS`` rows, so the sketch's Gram matrix estimates that of all passages); partitions' sketches are summed in two steps.
 The sketch's singular vectors are the latent space, scaled by the inverse singular values, so that what all texts share
-(function words, a language) does not hide what an item says. A second pass projects every block, adds neighbours, and takes
-passages with a cosine of at least ``COSINE`` to an item as candidates.
+(function words, a language) does not hide what an item says. A second pass adds neighbouring blocks, projects them, and takes
+passages with a cosine of at least ``COSINE`` to an item as candidates. Cosines are taken twice, of counts and of counts clipped
+to presence, so a word repeated next to an item does not hide it; and every run of ``MIN_ITEM`` words of an item that stands in
+a text word for word makes its passage a candidate whatever the cosine, so verbatim copies are never lost.
 
 A candidate is a leak if the longest common subsequence of the item's words and the words around the passage covers
 ``LCS`` of the item, or ``LCS_WITH_ANSWER`` of it while the item's last ``ANSWER`` words, its answer, are there to
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, column, encoded, map_batches, materialize, mix64, schema_of, small_batches, word_hashes
+from graphloom.llm.common import U64, column, encoded, gram_hashes, map_batches, materialize, mix64, schema_of, small_batches, word_hashes
 from graphloom.session import ship
 
 BLOCK, DIM, ROWS, RANK = 24, 512, 320, 128
@@ -124,10 +126,14 @@ def latent_space(sketch: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     return (idf[:, None] * vt.T / np.maximum(s, 1e-9 * max(s[0], 1e-9))).astype(np.float32) if n else np.zeros((DIM, RANK), np.float32)
 
 
-def project(words: np.ndarray, block: np.ndarray, n_blocks: int, space: np.ndarray) -> np.ndarray:
+def bucket_counts(words: np.ndarray, block: np.ndarray, n_blocks: int) -> np.ndarray:
     bucket, sign = buckets(words)
-    counts = np.bincount(block * DIM + bucket, weights=sign, minlength=n_blocks * DIM).astype(np.float32)
-    return counts.reshape(n_blocks, DIM) @ space
+    return np.bincount(block * DIM + bucket, weights=sign, minlength=n_blocks * DIM).astype(np.float32).reshape(n_blocks, DIM)
+
+
+def projections(counts: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latent vectors of passages' bucket counts, and of the counts clipped to presence."""
+    return counts @ space, np.clip(counts, -1, 1) @ space
 
 
 def lcs_length(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -152,11 +158,13 @@ class Items:
     space: np.ndarray
     vocabulary: np.ndarray  # all items' words, sorted
     has: np.ndarray  # items x (vocabulary and one column for other words): whether the item has the word
+    runs: np.ndarray  # hashes of the items' runs of MIN_ITEM words, sorted
+    run_items: np.ndarray  # the item of each
 
     @classmethod
     def build(cls, rows: list, space: np.ndarray) -> Items:
         words, first = plain_words([r["text"] for r in rows])
-        ids, sizes, masks, answers, vectors = [], [], [], [], []
+        ids, sizes, masks, answers, vectors, runs = [], [], [], [], [], []
         for r, a, b in zip(rows, first[:-1].tolist(), first[1:].tolist(), strict=True):
             own = words[a:b].tolist()
             if len(own) < MIN_ITEM:
@@ -166,13 +174,30 @@ class Items:
             sizes.append(len(own))
             masks.append(_masks(own))
             answers.append((_masks(tail), len(tail)))
-            v = project(words[a:b], np.zeros(b - a, np.int64), 1, space)[0]
-            vectors.append(v / max(float(np.linalg.norm(v)), 1e-12))
+            both = projections(bucket_counts(words[a:b], np.zeros(b - a, np.int64), 1), space)
+            vectors.append([v[0] / max(float(np.linalg.norm(v[0])), 1e-12) for v in both])
+            runs.append(np.unique(gram_hashes(words[a:b], MIN_ITEM)))
         vocabulary = np.array(sorted({w for m in masks for w in m}), U64)
         has = np.zeros((len(ids), len(vocabulary) + 1), bool)
         for j, m in enumerate(masks):
             has[j, np.searchsorted(vocabulary, np.array(list(m), U64))] = True
-        return cls(ids, sizes, masks, answers, np.array(vectors, np.float32).reshape(len(ids), space.shape[1]), space, vocabulary, has)
+        run_items = np.repeat(np.arange(len(ids)), [len(r) for r in runs])
+        flat = np.concatenate([*runs, np.empty(0, U64)])
+        order = np.argsort(flat, kind="stable")
+        vectors = np.array(vectors, np.float32).reshape(len(ids), 2, space.shape[1])
+        return cls(ids, sizes, masks, answers, vectors, space, vocabulary, has, flat[order], run_items[order])
+
+    def copied(self, own: np.ndarray, start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words (places in ``own``) and items of all runs of MIN_ITEM words that a text shares with an item."""
+        strange = np.concatenate(([0], np.cumsum(known == len(self.vocabulary))))
+        at = np.flatnonzero(strange[MIN_ITEM:] == strange[:-MIN_ITEM])
+        at = at[at + MIN_ITEM <= start[np.searchsorted(start, at, side="right")]]  # inside one text
+        if not len(at):
+            return at, at
+        h = gram_hashes(own, MIN_ITEM)[at]
+        lo, hi = np.searchsorted(self.runs, h), np.searchsorted(self.runs, h, side="right")
+        n = hi - lo
+        return np.repeat(at, n), self.run_items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, float, float, float]]:
         """(text number, item number, first word of the passage, cosine, LCS share, answer share) of the leaks, the best
@@ -186,17 +211,22 @@ class Items:
             block, text_no, place = blocks_of(start)
             known = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
             known = np.where(self.vocabulary[known] == own, known, len(self.vocabulary))
+            run_at, run_item = self.copied(own, start, known)
+            run_block = block[run_at]
             for lo in range(0, len(text_no), 4096):  # with one block more, for the last passage
                 hi = min(len(text_no), lo + 4096)
                 end = min(len(text_no), hi + 1)
                 x, y = np.searchsorted(block, [lo, end])
-                z = project(own[x:y], block[x:y] - lo, end - lo, self.space)
+                z = bucket_counts(own[x:y], block[x:y] - lo, end - lo)
                 pair = z[: hi - lo].copy()
                 joins = np.flatnonzero(text_no[lo : end - 1] == text_no[lo + 1 : end])
                 joins = joins[joins < hi - lo]
                 pair[joins] += z[joins + 1]
                 cos = self._cosines(pair)
-                for i, j in zip(*np.nonzero(cos >= COSINE), strict=True):
+                near = cos >= COSINE
+                here = (run_block >= lo) & (run_block < hi)
+                near[run_block[here] - lo, run_item[here]] = True
+                for i, j in zip(*np.nonzero(near), strict=True):
                     t = int(text_no[lo + i])
                     at = int(place[lo + i]) * BLOCK
                     size = self.sizes[j]
@@ -216,8 +246,10 @@ class Items:
                         best[key] = max(best.get(key, found), found)
         return [(t, j, -f[3], f[2], f[0], f[1]) for (t, j), f in sorted(best.items())]
 
-    def _cosines(self, z: np.ndarray) -> np.ndarray:
-        return (z @ self.vectors.T) / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    def _cosines(self, counts: np.ndarray) -> np.ndarray:
+        """The larger cosine of the two projections, passages x items."""
+        sides = [(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)) @ self.vectors[:, k].T for k, z in enumerate(projections(counts, self.space))]
+        return np.maximum(*sides)
 
 
 def _masks(words: list[int]) -> dict[int, int]:

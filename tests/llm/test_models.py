@@ -117,6 +117,28 @@ def test_leaks(spark, docs_of, words):
     assert decontam.find_leaks(df.limit(0), bench).count() == 0 and decontam.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_copies_in_repetitive_texts(words):
+    rng = random.Random(4)
+    items = [words(n, 40_000 + i) for i, n in enumerate([*range(15, 60)] * 3)]
+    corpus = [words(300, 50_000 + i) for i in range(200)]
+    h, first = decontam.plain_words(corpus)
+    sums, df, n = decontam._sketch_batch(h, first, np.arange(len(corpus)))
+    space = decontam.latent_space(sums.reshape(decontam.ROWS, decontam.DIM), df, n)
+    search = decontam.Items.build([{"item_id": i, "text": t} for i, t in enumerate(items)], space)
+    texts, spoken, host = [], [], words(20, 3).split() + [f"zq{i}" for i in range(20)]
+    for i, t in enumerate(items):
+        w = t.split()
+        changed = [f"swap{j}" if j < len(w) - 8 and j % 5 == 2 else x for j, x in enumerate(w)]
+        for out, body in ((texts, t), (spoken, " ".join(changed))):
+            for hosts in ([host[i % 40]], [host[i % 40]] * 9 + words(3, i).split()):
+                around = rng.choices(hosts, k=240)
+                k = rng.randint(20, 220)
+                out.append(" ".join([*around[:k], body, *around[k:]]))
+    assert {(t, j) for t, j, *_ in search.find(texts)} >= {(i, i // 2) for i in range(len(texts))}
+    found = {(t, j) for t, j, *_ in search.find(spoken)}
+    assert sum((i, i // 2) in found for i in range(len(spoken))) >= 0.95 * len(spoken)
+
+
 def test_common_subsequence_against_table():
     rng = random.Random(3)
     for _ in range(200):
