@@ -221,6 +221,41 @@ def bounded_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.within_hops(_sparse_calls(spark, sf_dir)[2], 2)
 
 
+def _all_edges(name: str) -> str:
+    """The oracle of a query on sparse calls, over all edges."""
+    return ORACLES[name].replace("SELECT * FROM edges WHERE quantity = 1", "SELECT * FROM edges")
+
+
+def _all_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    edges, defs = view(spark, sf_dir, "edges").drop("quantity"), view(spark, sf_dir, "defs")
+    return edges, defs, closure.resolved_calls(edges, defs)
+
+
+@query(_all_edges("reach_pairs"))
+def reach_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closure.reachable(_all_calls(spark, sf_dir)[2]).select("caller", "callee")
+
+
+@query(_all_edges("reach_targets"))
+def reach_targets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, defs, calls = _all_calls(spark, sf_dir)
+    own = defs.filter("part % 60 < 30").join(view(spark, sf_dir, "catalog"), F.col("n") == F.col("part") % 60)
+    found = closure.reached_targets(calls, own.select("function_key", "api", F.struct(F.lit(0).alias("o")).alias("ord")))
+    return found.select("function_key", F.array_join(F.array_sort("apis"), " - ").alias("apis"))
+
+
+@query(_all_edges("reach_names"))
+def reach_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, defs, _ = _all_calls(spark, sf_dir)
+    found = closure.reached_names(edges, defs)
+    return found.select("function_key", F.array_join(F.array_sort("names"), " - ").alias("names"))
+
+
+@query(_all_edges("bounded_hops"))
+def bounded_hops_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closure.within_hops(_all_calls(spark, sf_dir)[2], 2)
+
+
 # ---- names and scores ------------------------------------------------------------------------
 
 

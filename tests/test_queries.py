@@ -33,6 +33,28 @@ def test_query_equals_oracle(spark, duck, name):
     assert got == want
 
 
+def test_reach_over_all_edges_against_walk(spark):
+    from graphloom.operators import closure
+    from graphloom.plans.views import view
+
+    calls = closure.resolved_calls(view(spark, SF, "edges"), view(spark, SF, "defs")).collect()
+    steps = {}
+    for r in calls:
+        steps.setdefault(r["caller"], set()).add(r["callee"])
+    want = set()
+    for a in steps:
+        seen, todo = set(), list(steps[a])
+        while todo:
+            b = todo.pop()
+            if b not in seen:
+                seen.add(b)
+                todo += steps.get(b, ())
+        want |= {(a, b) for b in seen}
+    assert {(r["caller"], r["callee"]) for r in QUERIES["reach_pairs_all"](spark, SF).collect()} == want
+    two = {(a, b) for a in steps for m in steps[a] for b in {m} | steps.get(m, set())}
+    assert {(r["caller"], r["callee"]) for r in QUERIES["bounded_hops_all"](spark, SF).collect()} == two
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
