@@ -2,19 +2,22 @@
 
 Every whole text gives the base statistics of the rules and shares made from them (of symbols and of
 punctuation; damped where a text is short). The forest isolates a document by random splits on these shares; short paths mean
-anomalies. Its trees grow on a bounded sample of documents; what counts as too short a path is calibrated on
-labelled rows: the threshold with the best balanced accuracy between rows labelled good and bad that pass the base rules.
+anomalies. What counts as too short a path is calibrated on labelled rows: the threshold with the best balanced accuracy
+between rows labelled good and bad that pass the base rules.
 
-Bounds (parameters): ``sample`` documents by hash of their id (all if fewer) for ``trees`` trees of ``leaf_sample``
-rows each, and as many labelled rows for the threshold. Statistics, base rules and verdicts cover every row.
+All rows that pass the base rules count: the floor below which a share is not suspicious comes from histograms over them
+(``BINS`` bins a share), and each of ``trees`` trees has a draw of its own of ``leaf_sample`` rows by a hash, up to
+``RARE`` of them from the rows above the floor, however rare these are. All labelled rows make the threshold, through a
+histogram of scores (steps of 1 / ``STEPS``). Only these draws and histograms, of bounded size, reach the driver.
 
 Defined results: a null text has no words and fails the base rules; without labels of both kinds the threshold
-is the share ``contamination`` of the sample's scores; rows with a null doc_id are judged but never sampled; repeated
+is the share ``contamination`` of all scores; rows with a null doc_id are judged and counted but never drawn; repeated
 rows are judged one by one; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import column, map_batches, materialize, small_batches
+from graphloom.llm.common import column, map_batches, materialize, schema_of, small_batches
+from graphloom.session import ship
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
+BINS, STEPS, RARE = 1 << 14, 10_000, 32
 STAT_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA_NAMES = ("n_punct",)
 
@@ -110,17 +115,36 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, trees: int, leaf_sample: int, seed: int = 11) -> Forest:
+def _floor(values: np.ndarray, times: np.ndarray) -> float:
+    """Only much of a share is suspicious: all values within six deviations (robustly) above the median count as one."""
+
+    def middle(v: np.ndarray) -> float:
+        order = np.argsort(v, kind="stable")
+        return float(v[order][np.searchsorted(np.cumsum(times[order]), times.sum() / 2)])
+
+    if not len(values):
+        return 0.0
+    m = middle(values)
+    return m + 6 * 1.4826 * middle(np.abs(values - m))
+
+
+def grow(x: np.ndarray, trees: int, leaf_sample: int, seed: int = 11, floor: np.ndarray | None = None, rare: np.ndarray | None = None) -> Forest:
+    """Trees on rows ``x`` in random order, each on rows of its own while they last, and on some of ``rare`` (rows above
+    the floor; those of ``x`` if not given)."""
     rng = np.random.default_rng(seed)
-    # Only much of a share is suspicious: all values within six deviations (robustly) above the median count as one.
-    middle = np.median(x, axis=0) if len(x) else np.zeros(x.shape[1])
-    floor = middle + 6 * 1.4826 * (np.median(np.abs(x - middle), axis=0) if len(x) else 0.0)
-    x = np.maximum(x, floor)
+    if floor is None:
+        floor = np.array([_floor(c, np.ones(len(c))) for c in x.T])
+    rare = x[(x > floor).any(axis=1)] if rare is None else rare
+    base = len(x)
+    x = np.maximum(np.concatenate([x, rare]), floor)
     feature, cut, left, depth, roots = [], [], [], [], []
-    size = min(leaf_sample, len(x))
+    size = min(leaf_sample, base)
+    few = min(RARE, len(rare), size // 2)
+    apart, rare_apart = base >= trees * size, len(rare) >= trees * few
     limit = max(1, int(np.ceil(np.log2(max(size, 2)))))
-    for _ in range(trees):
-        rows = rng.choice(len(x), size, replace=False) if size else np.empty(0, int)
+    for k in range(trees):
+        rows = np.arange(k * size, (k + 1) * size - few) if apart else rng.choice(base, size - few, replace=False) if size else np.empty(0, int)
+        rows = np.concatenate([rows, base + (np.arange(k * few, (k + 1) * few) if rare_apart else rng.choice(len(rare), few, replace=False))]) if few else rows
         roots.append(len(feature))
         feature.append(-1), cut.append(0.0), left.append(-1), depth.append(0.0)
         stack = [(roots[-1], rows, 0)]
@@ -142,12 +166,18 @@ def grow(x: np.ndarray, trees: int, leaf_sample: int, seed: int = 11) -> Forest:
     return Forest(floor, np.array(feature), np.array(cut), np.array(left), np.array(depth), np.array(roots), max(_expected(size), 1.0))
 
 
-def calibrate(good: np.ndarray, bad: np.ndarray) -> float:
-    """The score from which on a row is rejected, with the best balanced accuracy; ties go to the higher one."""
+def calibrate(good: np.ndarray, bad: np.ndarray, good_times: np.ndarray | None = None, bad_times: np.ndarray | None = None, step: float = 1e-9) -> float:
+    """The score from which on a row is rejected, with the best balanced accuracy; ties go to the higher one. Scores may
+    come with how often each is there."""
+
+    def below(scores: np.ndarray, times: np.ndarray | None) -> np.ndarray:
+        order = np.argsort(scores, kind="stable")
+        upto = np.concatenate(([0], np.cumsum(np.ones(len(scores)) if times is None else times[order])))
+        return upto[np.searchsorted(scores[order], cuts, side="left")] / upto[-1]
+
     cuts = np.unique(np.concatenate([good, bad]))
-    cuts = np.concatenate([(cuts[:-1] + cuts[1:]) / 2, [cuts[-1] + 1e-9]])
-    kept = np.searchsorted(np.sort(good), cuts, side="left") / len(good)
-    caught = 1 - np.searchsorted(np.sort(bad), cuts, side="left") / len(bad)
+    cuts = np.concatenate([(cuts[:-1] + cuts[1:]) / 2, [cuts[-1] + step]])
+    kept, caught = below(good, good_times), 1 - below(bad, bad_times)
     best = (kept + caught).max()
     return float(cuts[np.flatnonzero(kept + caught >= best - 1e-12)[-1]])
 
@@ -172,29 +202,90 @@ def base_fails(s: np.ndarray) -> np.ndarray:
     return (s[:, 0] < MIN_WORDS) | (100 * s[:, 4] > REPEAT_PERCENT * s[:, 0])
 
 
-def judge(docs: DataFrame, labels: DataFrame, trees: int = 200, leaf_sample: int = 256, sample: int = 8000, contamination: float = 0.05) -> DataFrame:
+def _counts(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([np.asarray(column(batch, n)) for n in (*STAT_NAMES, *EXTRA_NAMES)])
+
+
+def corpus_floor(stats: DataFrame) -> tuple[np.ndarray, int, int]:
+    """The floor of each share over all rows that pass the base rules, their number, and how many are above it."""
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            s = _counts(batch)
+            b = np.minimum(shares(s[~base_fails(s)]) * BINS, BINS - 1).astype(np.int64)
+            part = np.stack([np.bincount(c, minlength=BINS) for c in b.T])
+            total = part if total is None else total + part
+        if total is not None:
+            f, b = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(b), pa.array(total[f, b])], names=["share", "bin", "n"])
+
+    width = shares(np.zeros((1, len(STAT_NAMES) + len(EXTRA_NAMES)))).shape[1]
+    ship(stats.sparkSession)
+    found = stats.mapInArrow(bins, "share long, bin long, n long").groupBy("share", "bin").agg(F.sum("n").alias("n")).orderBy("share", "bin").collect()  # BINS rows a share at most
+    table = np.array([tuple(r) for r in found], np.int64).reshape(-1, 3)
+    own = [table[table[:, 0] == f] for f in range(width)]
+    floor = np.array([_floor(t[:, 1] / BINS, t[:, 2]) for t in own])
+    floor = np.where(floor > 0, floor, 0.0)
+
+    def above(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = _counts(batch)
+        return pa.RecordBatch.from_arrays([pa.array([int(((shares(s) > floor).any(axis=1) & ~base_fails(s)).sum())], pa.int64())], names=["n"])
+
+    n_rare = map_batches(stats, above, "n long").agg(F.sum("n")).first()[0] or 0
+    return floor, int(own[0][:, 2].sum()), int(n_rare)
+
+
+def _drawn(stats: DataFrame, floor: np.ndarray, rare: bool, wanted: int, n: int) -> list:
+    """About ``wanted`` of the ``n`` rows that pass the base rules (``rare``: those above the floor), or all, by hash."""
+    below = -(2**63) + int(2**64 * min(1.0, 1.1 * (wanted + 50) / max(n, 1))) - 1
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = _counts(batch)
+        fits = ~base_fails(s)
+        return batch.filter(pa.array(fits & (shares(s) > floor).any(axis=1) if rare else fits))
+
+    keyed = stats.filter("doc_id IS NOT NULL").withColumn("hash", F.xxhash64("doc_id", *STAT_NAMES)).filter(F.col("hash") <= below)
+    rows = map_batches(keyed, some, schema_of(keyed)).collect()
+    return sorted(rows, key=lambda r: (r["hash"], *r))[:wanted]
+
+
+def score_histogram(rows: DataFrame, forest: Forest) -> list[tuple[int, int, int]]:
+    """(label, score in steps, rows) of all rows that pass the base rules."""
+    model = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = _counts(batch)
+        fits = ~base_fails(s)
+        steps = np.rint(model.value.score(shares(s[fits])) * STEPS).astype(np.int64)
+        return pa.RecordBatch.from_arrays([column(batch, "label").filter(pa.array(fits)), pa.array(steps)], names=["label", "step"])
+
+    found = map_batches(rows, scored, "label long, step long").groupBy("label", "step").count().collect()  # STEPS rows a label at most
+    return [tuple(r) for r in found]
+
+
+def judge(docs: DataFrame, labels: DataFrame, trees: int = 200, leaf_sample: int = 256, contamination: float = 0.05) -> DataFrame:
     """doc_id, the base statistics, base_failed, the anomaly ``score`` and kept of every row of ``docs``."""
     stats = materialize(statistics(docs), "statistics")
-    by_hash = F.xxhash64("doc_id")
-    some = stats.filter("doc_id IS NOT NULL").orderBy(by_hash, *STAT_NAMES).limit(sample).collect()  # a bounded top-k
-    plain = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").alias("label")).distinct()
-    marked = stats.join(plain, "doc_id").orderBy(by_hash, "label", *STAT_NAMES).limit(sample).collect()
-    x = _matrix(some)
-    forest = grow(shares(x[~base_fails(x)]), trees, leaf_sample)
-    y, known = np.array([r["label"] for r in marked], int), _matrix(marked)
-    passing = ~base_fails(known) if len(known) else np.zeros(0, bool)
-    scores = forest.score(shares(known[passing]))
-    good, bad = scores[y[passing] == 1], scores[y[passing] == 0]
-    if len(good) and len(bad):
-        threshold = calibrate(good, bad)
+    floor, n, n_rare = corpus_floor(stats)
+    x = shares(_matrix(_drawn(stats, floor, False, trees * leaf_sample, n)))
+    rare = shares(_matrix(_drawn(stats, floor, True, trees * RARE, n_rare)))
+    forest = grow(x, trees, leaf_sample, floor=floor, rare=rare)
+    plain = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("long").alias("label")).distinct()
+    known = score_histogram(stats.join(plain, "doc_id"), forest)
+    good, bad = ({v: n for y, v, n in known if y == label} for label in (1, 0))
+    if good and bad:
+        values = [np.array(list(h)) / STEPS for h in (good, bad)]
+        threshold = calibrate(*values, *(np.array(list(h.values())) for h in (good, bad)), step=1 / STEPS)
     else:
-        own = forest.score(shares(x[~base_fails(x)])) if len(x) else np.ones(1)
-        threshold = float(np.quantile(own, 1 - contamination)) if len(own) else 1.0
+        every = sorted((v, n) for _, v, n in score_histogram(stats.withColumn("label", F.lit(0).cast("long")), forest))
+        upto = np.cumsum([n for _, n in every])
+        threshold = (every[int(np.searchsorted(upto, (1 - contamination) * upto[-1]))][0] + 0.5) / STEPS if every else 1.0
     model = docs.sparkSession.sparkContext.broadcast((forest, threshold))  # trees of a bounded sample
 
     def verdict(batch: pa.RecordBatch) -> pa.RecordBatch:
         forest, threshold = model.value
-        s = np.column_stack([np.asarray(column(batch, n)) for n in (*STAT_NAMES, *EXTRA_NAMES)])
+        s = _counts(batch)
         failed, score = base_fails(s), forest.score(shares(s))
         out = [column(batch, n) for n in ("doc_id", *STAT_NAMES)]
         return pa.RecordBatch.from_arrays(

@@ -47,6 +47,19 @@ def test_quality_verdicts(spark, docs_of, words):
     assert quality.judge(df.limit(0), labels, trees=20).count() == 0
 
 
+def test_rare_bad_rows_are_judged_at_any_size(spark):
+    from pyspark.sql import functions as F
+
+    clean = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do " * 2
+    plain = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(*(F.concat(F.lit(w), F.col("id") * 31 + i, F.lit(" ")) for i, w in enumerate(clean.split() * 3))).alias("text"))
+    late = [r[0] for r in spark.range(20_000, 20_100).orderBy(F.xxhash64("id").desc()).limit(2).collect()]  # not among the first by hash
+    junk = plain.filter("doc_id < 2").select(F.when(F.col("doc_id") == 0, late[0]).otherwise(late[1]).alias("doc_id"), F.regexp_replace("text", " ", " ### ").alias("text"))
+    docs = plain.unionByName(junk).repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 20_000, 100)] + [(late[0], 0, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.judge(docs, labels, trees=40).filter("doc_id >= 20000 OR NOT kept").collect()
+    assert {r["doc_id"]: r["kept"] for r in rows} == {i: False for i in late}
+
+
 def test_forest_isolates_outliers():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 1, (500, 2)), [[60.0, 80.0]]])
