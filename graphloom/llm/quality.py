@@ -1,7 +1,7 @@
 """Quality rules and an isolation forest on their statistics.
 
 Every whole text gives the base statistics of the rules and shares made from them (of symbols and of
-punctuation; damped where a text is short). The forest isolates a document by random splits on these shares; short paths mean
+punctuation, damped where a text is short; the mean word length). The forest isolates a document by random splits on these shares; short paths mean
 anomalies. What counts as too short a path is calibrated on labelled rows: the threshold with the best balanced accuracy
 between rows labelled good and bad that pass the base rules.
 
@@ -74,10 +74,10 @@ def text_statistics(text: str | None, window: int = WINDOW) -> list[int]:
 
 
 def shares(s: np.ndarray) -> np.ndarray:
-    """Features of statistics rows: shares of characters, damped where a text is short and tells less. Capitals, repeated
-    words and repeated lines are left to the base rules: good labelled rows vary in them more than bad ones."""
-    chars, symbols, punct = (s[:, i].astype(float) for i in (1, 2, 5))
-    return np.column_stack([symbols / (chars + 100), punct / (chars + 100)])
+    """Features of statistics rows: shares of characters, damped where a text is short and tells less, and the mean word
+    length as a share of 64. Repeated words and lines are no features: good labelled rows vary in them more than bad ones."""
+    words, chars, symbols, punct = (s[:, i].astype(float) for i in (0, 1, 2, 5))
+    return np.column_stack([symbols / (chars + 100), punct / (chars + 100), np.minimum(chars / (64 * np.maximum(words, 1)), 1)])
 
 
 @dataclass
