@@ -16,8 +16,8 @@ A candidate is a leak if the longest common subsequence of the item's words and
 
 Sizes: sketch and projection have fixed size. Items are broadcast in groups of ``ITEMS``, one scan each.
 
-Defined results: null and empty texts leak nothing; items of fewer than ``MIN_ITEM`` words are too short to tell and are
-left out; rows with a null doc_id are searched too; repeated rows are searched one by one (a pair of ids comes once); an
+Defined results: null and empty texts leak nothing; items of fewer than ``MIN_ITEM`` words leak where
+their words stand one after another anywhere in a text (cosine, LCS and answer 1), items without words nowhere; rows with a null doc_id are searched too; repeated rows are searched one by one (a pair of ids comes once); an
 empty documents or benchmark table gives no hits; other columns are ignored.
 """
 
@@ -158,16 +158,16 @@ class Items:
     space: np.ndarray
     vocabulary: np.ndarray  # all items' words, sorted
     has: np.ndarray  # items x (vocabulary and one column for other words): whether the item has the word
-    runs: np.ndarray  # hashes of the items' runs of MIN_ITEM words, sorted
-    run_items: np.ndarray  # the item of each
+    runs: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> sorted hashes of the items' runs of so many words, the item of each
 
     @classmethod
     def build(cls, rows: list, space: np.ndarray) -> Items:
         words, first = plain_words([r["text"] for r in rows])
-        ids, sizes, masks, answers, vectors, runs = [], [], [], [], [], []
+        ids, sizes, masks, answers, vectors, runs, short = [], [], [], [], [], {}, []
         for r, a, b in zip(rows, first[:-1].tolist(), first[1:].tolist(), strict=True):
             own = words[a:b].tolist()
             if len(own) < MIN_ITEM:
+                short += [(r["item_id"], words[a:b])] if own else []
                 continue
             tail = own[-ANSWER:]
             ids.append(r["item_id"])
@@ -176,28 +176,34 @@ class Items:
             answers.append((_masks(tail), len(tail)))
             both = projections(bucket_counts(words[a:b], np.zeros(b - a, np.int64), 1), space)
             vectors.append([v[0] / max(float(np.linalg.norm(v[0])), 1e-12) for v in both])
-            runs.append(np.unique(gram_hashes(words[a:b], MIN_ITEM)))
-        vocabulary = np.array(sorted({w for m in masks for w in m}), U64)
+            runs.setdefault(MIN_ITEM, []).append((np.unique(gram_hashes(words[a:b], MIN_ITEM)), len(ids) - 1))
+        vocabulary = np.array(sorted({w for m in masks for w in m} | {w for _, own in short for w in own.tolist()}), U64)
         has = np.zeros((len(ids), len(vocabulary) + 1), bool)
         for j, m in enumerate(masks):
             has[j, np.searchsorted(vocabulary, np.array(list(m), U64))] = True
-        run_items = np.repeat(np.arange(len(ids)), [len(r) for r in runs])
-        flat = np.concatenate([*runs, np.empty(0, U64)])
-        order = np.argsort(flat, kind="stable")
         vectors = np.array(vectors, np.float32).reshape(len(ids), 2, space.shape[1])
-        return cls(ids, sizes, masks, answers, vectors, space, vocabulary, has, flat[order], run_items[order])
-
-    def copied(self, own: np.ndarray, start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First words (places in ``own``) and items of all runs of MIN_ITEM words that a text shares with an item."""
+        for item_id, own in short:  # after the others
+            ids.append(item_id)
+            runs.setdefault(len(own), []).append((gram_hashes(own, len(own)), len(ids) - 1))
+        table = {}
+        for n, found in runs.items():
+            flat, item = np.concatenate([h for h, _ in found]), np.repeat([j for _, j in found], [len(h) for h, _ in found])
+            order = np.argsort(flat, kind="stable")
+            table[n] = flat[order], item[order]
+        return cls(ids, sizes, masks, answers, vectors, space, vocabulary, has, table)
+
+    def copied(self, n_words: int, own: np.ndarray, start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words (places in ``own``) and items of all runs of ``n_words`` words that a text shares with an item."""
         strange = np.concatenate(([0], np.cumsum(known == len(self.vocabulary))))
-        at = np.flatnonzero(strange[MIN_ITEM:] == strange[:-MIN_ITEM])
-        at = at[at + MIN_ITEM <= start[np.searchsorted(start, at, side="right")]]  # inside one text
-        if not len(at):
-            return at, at
-        h = gram_hashes(own, MIN_ITEM)[at]
-        lo, hi = np.searchsorted(self.runs, h), np.searchsorted(self.runs, h, side="right")
+        at = np.flatnonzero(strange[n_words:] == strange[:-n_words])
+        at = at[at + n_words <= start[np.searchsorted(start, at, side="right")]]  # inside one text
+        if n_words not in self.runs or not len(at):
+            return at[:0], at[:0]
+        runs, items = self.runs[n_words]
+        h = gram_hashes(own, n_words)[at]
+        lo, hi = np.searchsorted(runs, h), np.searchsorted(runs, h, side="right")
         n = hi - lo
-        return np.repeat(at, n), self.run_items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return np.repeat(at, n), items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, float, float, float]]:
         """(text number, item number, first word of the passage, cosine, LCS share, answer share) of the leaks, the best
@@ -211,7 +217,14 @@ class Items:
             block, text_no, place = blocks_of(start)
             known = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
             known = np.where(self.vocabulary[known] == own, known, len(self.vocabulary))
-            run_at, run_item = self.copied(own, start, known)
+            for n_words in self.runs:
+                if n_words < MIN_ITEM:  # the whole item
+                    run_at, run_item = self.copied(n_words, own, start, known)
+                    run_text = np.searchsorted(start, run_at, side="right") - 1
+                    for i in np.unique(run_text * len(self.ids) + run_item, return_index=True)[1]:  # its first place in each text
+                        t = int(run_text[i])
+                        best[a + t, int(run_item[i])] = 1.0, 1.0, 1.0, int(start[t] - run_at[i])
+            run_at, run_item = self.copied(MIN_ITEM, own, start, known)
             run_block = block[run_at]
             for lo in range(0, len(text_no), 4096):  # with one block more, for the last passage
                 hi = min(len(text_no), lo + 4096)
