@@ -117,7 +117,7 @@ def _hash_piece(arr: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.empty(0, U64), starts
     sizes = ends - starts
     at = np.arange(len(arr), dtype=np.int64)
-    at -= np.repeat(np.concatenate(([0], starts[1:])), np.diff(np.concatenate(([0], starts[1:], [len(arr)]))))
+    at -= np.repeat(starts, np.diff(np.concatenate(([0], starts[1:], [len(arr)]))))  # white space before the first word too
     values = table[arr] * _PLACE[at & 0xFFF]
     values[~word] = 0
     sums = np.add.reduceat(values, starts)

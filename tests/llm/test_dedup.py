@@ -128,6 +128,7 @@ def test_word_hashes_split_as_the_rule_says():
     flat = [w for p in per for w in p]
     assert len({*flat}) == len(set(h.tolist())) and all((h[i] == h[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(i))
     low, _ = common.word_hashes([b"ABC abc Abc"], lower=True)
+    assert common.word_hashes([b"  one two"])[0].tolist() == common.word_hashes([b"one two"])[0].tolist()
     assert len(set(low.tolist())) == 1
 
 
@@ -159,6 +160,36 @@ def test_repeats_against_brute_force(spark, docs_of, words, seed, n, gram):
     assert {i: s for i, s in found.items() if s} == brute_repeats(rows, n)
 
 
+def test_runs_over_many_ranges(spark, docs_of, words, monkeypatch):
+    """One passage in most documents, with borders that differ, in ranges of a few rows: runs cross many of them."""
+    monkeypatch.setattr(suffix, "SORT_ROWS", 15)
+    passage, copy = words(40, 7), words(60, 8)
+    texts = [f"{words(k % 7, 50 + k)} {passage} {words(k % 5, 90 + k)}" for k in range(60)] + [copy] * 40 + ["again " * 50]
+    found = collections.defaultdict(set)
+    for r in suffix.repeated_spans(docs_of(texts), 12, 4).collect():
+        found[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert {i: s for i, s in found.items() if s} == brute_repeats(list(enumerate(texts)), 12)
+
+
+def test_neighbours_bound_the_extension(spark, docs_of, words, monkeypatch):
+    """Texts that share a k-gram only have neighbours, but none that can be extended to a window, but for the two rows at
+    the ends of the one range; a shared passage leaves some."""
+    counts = {}
+
+    def counting(df, name):
+        out = common.materialize(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix, "materialize", counting)
+    monkeypatch.setattr(suffix, "_sorted", lambda rows, *by: rows.coalesce(1).sortWithinPartitions(*by))
+    gram, shared = words(10, 1), words(60, 9)
+    far = docs_of([f"{words(60, 20 + k)} {gram} {words(60, 40 + k)}" for k in range(6)])
+    assert suffix.repeated_spans(far).count() == 0 and counts["suffix-array"] > 20 and counts["seeds"] <= 2
+    near = docs_of([f"{words(60, 20 + k)} {shared} {words(60, 40 + k)}" for k in range(6)])
+    assert suffix.repeated_spans(near).count() == 5 and counts["seeds"] > 6
+
+
 def test_cut(spark, docs_of, words):
     p = words(60, 1)
     texts = [p, f"before  {p}\n\nafter it", p, None, "", f"{words(60, 2)} {p}"]
