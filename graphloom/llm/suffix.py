@@ -44,8 +44,8 @@ from graphloom.session import ship
 MIN_WORDS, GRAM = 50, 8
 #: Depths at which neighbours are compared, on each side; a fingerprint of 16 bits for each (equal ones loosen a bound only).
 DEPTHS = 4
-#: Rows of a sort that one task takes, about 100 MB.
-SORT_ROWS = 1_500_000
+#: Rows of a sort that one task takes (about 25 MB), until there are so many ranges; tasks grow beyond.
+SORT_ROWS, MAX_RANGES = 400_000, 100_000
 _BASE = U64(0x9E3779B97F4A7C55)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 
@@ -150,7 +150,7 @@ def suffixes(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
 
 def _sorted(rows: DataFrame, *by: str) -> DataFrame:
     """Materialised ``rows`` in ranges of ``by``, sorted; the number of ranges follows the rows."""
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SORT_ROWS))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, min(MAX_RANGES, 1 + rows.count() // SORT_ROWS))
     return rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
 
