@@ -1,14 +1,18 @@
 """Quality rules and an isolation forest on their statistics.
 
-Every whole text gives the base statistics of the rules and shares made from them (of symbols and of
-punctuation, damped where a text is short; the mean word length). The forest isolates a document by random splits on these shares; short paths mean
-anomalies. What counts as too short a path is calibrated on labelled rows: the threshold with the best balanced accuracy
-between rows labelled good and bad that pass the base rules.
+Every whole text gives the base statistics of the rules; the forest sees all of them, as shares: of symbols and punctuation
+among characters (damped where a text is short), of repeated words and lines among words, mean word length, and the number of words. The
+forest isolates a document by random splits on these; short paths mean anomalies.
 
-All rows that pass the base rules count: the floor below which a share is not suspicious comes from histograms over them
-(``BINS`` bins a share), and each of ``trees`` trees has a draw of its own of ``leaf_sample`` rows by a hash, up to
-``RARE`` of them from the rows above the floor, however rare these are. All labelled rows make the threshold, through a
-histogram of scores (steps of 1 / ``STEPS``). Only these draws and histograms, of bounded size, reach the driver.
+Labels calibrate it twice, over all labelled rows that pass the base rules. How well a statistic alone tells bad rows from
+good ones (its area under the curve, from histograms of ``BINS`` bins) is how often a split takes it: without labels all
+count alike. And the threshold on the score is the one with the best balanced accuracy, from a histogram of scores in steps of
+1 / ``STEPS``.
+
+Each of ``trees`` trees has a draw of its own of ``leaf_sample`` rows, by a hash over all rows that pass the base rules;
+``RARE`` of them are rows labelled bad, so that a statistic in which these differ can be split on, however rare they
+are in the corpus. Small draws keep many alike anomalies from hiding each other. Only these draws and histograms, of
+bounded size, reach the driver.
 
 Defined results: a null text has no words and fails the base rules; without labels of both kinds the threshold
 is the share ``contamination`` of all scores; rows with a null doc_id are judged and counted but never drawn; repeated
@@ -25,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import column, map_batches, materialize, schema_of, small_batches
+from graphloom.llm.common import column, map_batches, materialize, small_batches
 from graphloom.session import ship
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
-BINS, STEPS, RARE = 1 << 14, 10_000, 32
+BINS, STEPS, RARE, LEAF_SAMPLE, LEAST_WEIGHT = 1 << 12, 10_000, 2, 64, 0.01
 STAT_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA_NAMES = ("n_punct",)
 
@@ -74,17 +78,17 @@ def text_statistics(text: str | None, window: int = WINDOW) -> list[int]:
 
 
 def shares(s: np.ndarray) -> np.ndarray:
-    """Features of statistics rows: shares of characters, damped where a text is short and tells less, and the mean word
-    length as a share of 64. Repeated words and lines are no features: good labelled rows vary in them more than bad ones."""
-    words, chars, symbols, punct = (s[:, i].astype(float) for i in (0, 1, 2, 5))
-    return np.column_stack([symbols / (chars + 100), punct / (chars + 100), np.minimum(chars / (64 * np.maximum(words, 1)), 1)])
+    """Features of statistics rows, each from 0 to 1."""
+    words, chars, symbols, lines, repeats, punct = (s[:, i].astype(float) for i in range(6))
+    n = np.maximum(words, 1)
+    cols = [symbols / (chars + 100), punct / (chars + 100), chars / n / 64, repeats / n, 10 * lines / n, np.log2(1 + words) / 32]
+    return np.minimum(np.column_stack(cols), 1)
 
 
 @dataclass
 class Forest:
     """Trees as arrays: node i splits on ``feature[i]`` (-1: a leaf) at ``cut[i]``, to ``left[i]`` or left[i] + 1."""
 
-    floor: np.ndarray
     feature: np.ndarray
     cut: np.ndarray
     left: np.ndarray
@@ -94,7 +98,6 @@ class Forest:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path length / expected length): near 1 for anomalies."""
-        x = np.maximum(x, self.floor)
         total = np.zeros(len(x))
         for root in self.roots:
             at = np.full(len(x), root)
@@ -115,36 +118,21 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def _floor(values: np.ndarray, times: np.ndarray) -> float:
-    """Only much of a share is suspicious: all values within six deviations (robustly) above the median count as one."""
-
-    def middle(v: np.ndarray) -> float:
-        order = np.argsort(v, kind="stable")
-        return float(v[order][np.searchsorted(np.cumsum(times[order]), times.sum() / 2)])
-
-    if not len(values):
-        return 0.0
-    m = middle(values)
-    return m + 6 * 1.4826 * middle(np.abs(values - m))
-
-
-def grow(x: np.ndarray, trees: int, leaf_sample: int, seed: int = 11, floor: np.ndarray | None = None, rare: np.ndarray | None = None) -> Forest:
-    """Trees on rows ``x`` in random order, each on rows of its own while they last, and on some of ``rare`` (rows above
-    the floor; those of ``x`` if not given)."""
+def grow(x: np.ndarray, trees: int, leaf_sample: int, seed: int = 11, weight: np.ndarray | None = None, rare: np.ndarray | None = None) -> Forest:
+    """Trees on rows ``x`` in random order, each on rows of its own while they last, with ``RARE`` of the rows ``rare``. A split
+    takes a feature, of those that still vary, with odds ``weight``."""
     rng = np.random.default_rng(seed)
-    if floor is None:
-        floor = np.array([_floor(c, np.ones(len(c))) for c in x.T])
-    rare = x[(x > floor).any(axis=1)] if rare is None else rare
+    rare = x[:0] if rare is None else rare
+    weight = np.ones(x.shape[1]) if weight is None else weight
     base = len(x)
-    x = np.maximum(np.concatenate([x, rare]), floor)
+    x = np.concatenate([x, rare])
     feature, cut, left, depth, roots = [], [], [], [], []
-    size = min(leaf_sample, base)
-    few = min(RARE, len(rare), size // 2)
-    apart, rare_apart = base >= trees * size, len(rare) >= trees * few
-    limit = max(1, int(np.ceil(np.log2(max(size, 2)))))
+    few = min(RARE, len(rare))
+    size = min(leaf_sample - few, base)
+    limit = max(1, int(np.ceil(np.log2(max(size + few, 2)))))
     for k in range(trees):
-        rows = np.arange(k * size, (k + 1) * size - few) if apart else rng.choice(base, size - few, replace=False) if size else np.empty(0, int)
-        rows = np.concatenate([rows, base + (np.arange(k * few, (k + 1) * few) if rare_apart else rng.choice(len(rare), few, replace=False))]) if few else rows
+        rows = np.arange(k * size, (k + 1) * size) if base >= trees * size else rng.choice(base, size, replace=False)
+        rows = np.concatenate([rows, base + rng.choice(len(rare), few, replace=False)]) if few else rows
         roots.append(len(feature))
         feature.append(-1), cut.append(0.0), left.append(-1), depth.append(0.0)
         stack = [(roots[-1], rows, 0)]
@@ -155,7 +143,7 @@ def grow(x: np.ndarray, trees: int, leaf_sample: int, seed: int = 11, floor: np.
             if d >= limit or not len(usable):
                 depth[node] = d + _expected(len(rows))
                 continue
-            f = int(rng.choice(usable))
+            f = int(rng.choice(usable, p=weight[usable] / weight[usable].sum()))
             at = float(rng.uniform(x[rows, f].min(), x[rows, f].max()))
             side = x[rows, f] >= at
             child = len(feature)
@@ -163,7 +151,7 @@ def grow(x: np.ndarray, trees: int, leaf_sample: int, seed: int = 11, floor: np.
             for i, part in enumerate((rows[~side], rows[side])):
                 feature.append(-1), cut.append(0.0), left.append(-1), depth.append(0.0)
                 stack.append((child + i, part, d + 1))
-    return Forest(floor, np.array(feature), np.array(cut), np.array(left), np.array(depth), np.array(roots), max(_expected(size), 1.0))
+    return Forest(np.array(feature), np.array(cut), np.array(left), np.array(depth), np.array(roots), max(_expected(size + few), 1.0))
 
 
 def calibrate(good: np.ndarray, bad: np.ndarray, good_times: np.ndarray | None = None, bad_times: np.ndarray | None = None, step: float = 1e-9) -> float:
@@ -202,86 +190,83 @@ def base_fails(s: np.ndarray) -> np.ndarray:
     return (s[:, 0] < MIN_WORDS) | (100 * s[:, 4] > REPEAT_PERCENT * s[:, 0])
 
 
+#: The same as a condition on rows.
+PASSES = f"n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= {REPEAT_PERCENT} * n_words"
+
+
 def _counts(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([np.asarray(column(batch, n)) for n in (*STAT_NAMES, *EXTRA_NAMES)])
 
 
-def corpus_floor(stats: DataFrame) -> tuple[np.ndarray, int, int]:
-    """The floor of each share over all rows that pass the base rules, their number, and how many are above it."""
+def feature_weights(labelled: DataFrame) -> np.ndarray:
+    """How well each feature alone tells the two labels apart: |2 * area under the curve - 1|, ``LEAST_WEIGHT`` at least."""
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            s = _counts(batch)
-            b = np.minimum(shares(s[~base_fails(s)]) * BINS, BINS - 1).astype(np.int64)
-            part = np.stack([np.bincount(c, minlength=BINS) for c in b.T])
-            total = part if total is None else total + part
-        if total is not None:
-            f, b = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(b), pa.array(total[f, b])], names=["share", "bin", "n"])
+            b = np.minimum(shares(_counts(batch)) * BINS, BINS - 1).astype(np.int64)
+            label = np.asarray(column(batch, "label"))
+            for y in (0, 1):
+                total[y] = total.get(y, 0) + np.stack([np.bincount(c, minlength=BINS) for c in b[label == y].T])
+        for y, counts in total.items():
+            f, b = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), y)), pa.array(f), pa.array(b), pa.array(counts[f, b])], names=["label", "feature", "bin", "n"])
 
     width = shares(np.zeros((1, len(STAT_NAMES) + len(EXTRA_NAMES)))).shape[1]
-    ship(stats.sparkSession)
-    found = stats.mapInArrow(bins, "share long, bin long, n long").groupBy("share", "bin").agg(F.sum("n").alias("n")).orderBy("share", "bin").collect()  # BINS rows a share at most
-    table = np.array([tuple(r) for r in found], np.int64).reshape(-1, 3)
-    own = [table[table[:, 0] == f] for f in range(width)]
-    floor = np.array([_floor(t[:, 1] / BINS, t[:, 2]) for t in own])
-    floor = np.where(floor > 0, floor, 0.0)
-
-    def above(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = _counts(batch)
-        return pa.RecordBatch.from_arrays([pa.array([int(((shares(s) > floor).any(axis=1) & ~base_fails(s)).sum())], pa.int64())], names=["n"])
-
-    n_rare = map_batches(stats, above, "n long").agg(F.sum("n")).first()[0] or 0
-    return floor, int(own[0][:, 2].sum()), int(n_rare)
-
-
-def _drawn(stats: DataFrame, floor: np.ndarray, rare: bool, wanted: int, n: int) -> list:
-    """About ``wanted`` of the ``n`` rows that pass the base rules (``rare``: those above the floor), or all, by hash."""
+    ship(labelled.sparkSession)
+    parts = labelled.mapInArrow(bins, "label long, feature long, bin long, n long").groupBy("label", "feature", "bin").agg(F.sum("n").alias("n"))
+    table = np.zeros((2, width, BINS))
+    for y, f, b, n in parts.collect():  # BINS rows a label and feature at most
+        table[y, f, b] = n
+    if not (table.sum(axis=2) > 0).all():
+        return np.ones(width)
+    good, bad = table[1] / table[1].sum(axis=1, keepdims=True), table[0] / table[0].sum(axis=1, keepdims=True)
+    area = (bad * (np.cumsum(good, axis=1) - good / 2)).sum(axis=1)
+    return np.maximum(np.abs(2 * area - 1), LEAST_WEIGHT)
+
+
+def _drawn(rows: DataFrame, wanted: int) -> np.ndarray:
+    """Features of ``wanted`` rows, or all, the first by hash."""
+    n, names = rows.count(), (*STAT_NAMES, *EXTRA_NAMES)
     below = -(2**63) + int(2**64 * min(1.0, 1.1 * (wanted + 50) / max(n, 1))) - 1
-
-    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = _counts(batch)
-        fits = ~base_fails(s)
-        return batch.filter(pa.array(fits & (shares(s) > floor).any(axis=1) if rare else fits))
-
-    keyed = stats.filter("doc_id IS NOT NULL").withColumn("hash", F.xxhash64("doc_id", *STAT_NAMES)).filter(F.col("hash") <= below)
-    rows = map_batches(keyed, some, schema_of(keyed)).collect()
-    return sorted(rows, key=lambda r: (r["hash"], *r))[:wanted]
+    keyed = rows.filter("doc_id IS NOT NULL").select("doc_id", *names, F.xxhash64("doc_id", *STAT_NAMES).alias("hash")).filter(F.col("hash") <= below)
+    return shares(_matrix(keyed.orderBy("hash", "doc_id", *names).limit(wanted).collect()))
 
 
 def score_histogram(rows: DataFrame, forest: Forest) -> list[tuple[int, int, int]]:
-    """(label, score in steps, rows) of all rows that pass the base rules."""
+    """(label, score in steps, rows) of ``rows``."""
     model = rows.sparkSession.sparkContext.broadcast(forest)
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = _counts(batch)
-        fits = ~base_fails(s)
-        steps = np.rint(model.value.score(shares(s[fits])) * STEPS).astype(np.int64)
-        return pa.RecordBatch.from_arrays([column(batch, "label").filter(pa.array(fits)), pa.array(steps)], names=["label", "step"])
+        steps = np.rint(model.value.score(shares(_counts(batch))) * STEPS).astype(np.int64)
+        return pa.RecordBatch.from_arrays([column(batch, "label"), pa.array(steps)], names=["label", "step"])
 
     found = map_batches(rows, scored, "label long, step long").groupBy("label", "step").count().collect()  # STEPS rows a label at most
     return [tuple(r) for r in found]
 
 
-def judge(docs: DataFrame, labels: DataFrame, trees: int = 200, leaf_sample: int = 256, contamination: float = 0.05) -> DataFrame:
-    """doc_id, the base statistics, base_failed, the anomaly ``score`` and kept of every row of ``docs``."""
-    stats = materialize(statistics(docs), "statistics")
-    floor, n, n_rare = corpus_floor(stats)
-    x = shares(_matrix(_drawn(stats, floor, False, trees * leaf_sample, n)))
-    rare = shares(_matrix(_drawn(stats, floor, True, trees * RARE, n_rare)))
-    forest = grow(x, trees, leaf_sample, floor=floor, rare=rare)
-    plain = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("long").alias("label")).distinct()
-    known = score_histogram(stats.join(plain, "doc_id"), forest)
+def train(stats: DataFrame, labels: DataFrame, trees: int = 200, leaf_sample: int = LEAF_SAMPLE, contamination: float = 0.05) -> tuple[Forest, float]:
+    """The forest and the score from which on a row is rejected. ``stats`` is materialised; ``labels`` has doc_id and quality."""
+    passing = stats.filter(PASSES)
+    plain = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("long").alias("label")).distinct()
+    labelled = materialize(passing.join(plain, "doc_id"), "labelled")
+    forest = grow(
+        _drawn(passing, trees * leaf_sample), trees, leaf_sample, weight=feature_weights(labelled), rare=_drawn(labelled.filter("label = 0"), trees * RARE)
+    )
+    known = score_histogram(labelled, forest)
     good, bad = ({v: n for y, v, n in known if y == label} for label in (1, 0))
     if good and bad:
         values = [np.array(list(h)) / STEPS for h in (good, bad)]
-        threshold = calibrate(*values, *(np.array(list(h.values())) for h in (good, bad)), step=1 / STEPS)
-    else:
-        every = sorted((v, n) for _, v, n in score_histogram(stats.withColumn("label", F.lit(0).cast("long")), forest))
-        upto = np.cumsum([n for _, n in every])
-        threshold = (every[int(np.searchsorted(upto, (1 - contamination) * upto[-1]))][0] + 0.5) / STEPS if every else 1.0
-    model = docs.sparkSession.sparkContext.broadcast((forest, threshold))  # trees of a bounded sample
+        return forest, calibrate(*values, *(np.array(list(h.values())) for h in (good, bad)), step=1 / STEPS)
+    every = sorted((v, n) for _, v, n in score_histogram(passing.withColumn("label", F.lit(0).cast("long")), forest))
+    upto = np.cumsum([n for _, n in every])
+    return forest, (every[int(np.searchsorted(upto, (1 - contamination) * upto[-1]))][0] + 0.5) / STEPS if every else 1.0
+
+
+def judge(docs: DataFrame, labels: DataFrame, trees: int = 200, leaf_sample: int = LEAF_SAMPLE, contamination: float = 0.05) -> DataFrame:
+    """doc_id, the base statistics, base_failed, the anomaly ``score`` and kept of every row of ``docs``."""
+    stats = materialize(statistics(docs), "statistics")
+    model = docs.sparkSession.sparkContext.broadcast(train(stats, labels, trees, leaf_sample, contamination))  # trees of a bounded sample
 
     def verdict(batch: pa.RecordBatch) -> pa.RecordBatch:
         forest, threshold = model.value
