@@ -1,19 +1,23 @@
 """Token counts with the exact count at every prefix.
 
 The tokenizer merges within units only: a run of spaces with the word after it (a line feed starts a unit too), so
-count(prefix) = counts of the units before + count of the begun unit's prefix. ``PrefixCounts`` holds the running
-sums at unit ends; inside a unit a dynamic program gives the count at each character: the last token of a prefix
-is the longest vocabulary piece that ends there and that the library keeps next to the last token of the shorter
-prefix (byte-pair merges make that token unique), and count[i] = count[i - its length] + 1. Truncation and
-budget questions read these tables; nothing is encoded again.
+count(prefix) = counts of the units before + count of the begun unit's prefix. A dynamic program fills a unit's table, the
+count at each of its characters: the last token of a prefix is the longest vocabulary piece that ends there and that the
+library keeps next to the last token of the shorter prefix (byte-pair merges make that token unique), and
+count[i] = count[i - its length] + 1. ``PrefixCounts`` of a text holds its units' tables and their running sums: together the
+count at every prefix, from which totals, limits, truncation and budgets are read. The library is asked about pairs of pieces
+only; no text is encoded.
+
+Tables of distinct units are kept in a worker's bounded memory, one byte a character where counts are below 256.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); an empty text has 0 tokens; a text of one very
-long word is one unit, encoded whole; repeated rows are counted one by one; other columns are ignored.
+long word is one unit; repeated rows are counted one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -25,12 +29,11 @@ from graphloom.llm.vocab import _LOADED, CACHE_WORDS, Memory, tokenizer_path
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 SPACE = "▁"
-JOINED = "\n\n"  # before a unit that has neither a space nor a line feed before it; no unit of a text begins so
-_STOP = re.compile(r"[.,](?=[ \n])(?<=[A-Za-zÀ-ÖØ-öø-ÿ].)")
 
 
 class UnitCounts(Memory):
-    """A unit, as ``split_units`` gives it, -> its number of tokens."""
+    """A unit, as ``split_units`` gives it, -> the token counts of its prefixes, the empty one first; the mark of a unit that
+    has one is its first character."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -39,59 +42,44 @@ class UnitCounts(Memory):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         spanning = [p for p in pieces if SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n")]
-        if spanning or self._raw("\n") != 2 or self._raw("") != 0:
+        if spanning or len(self.library.encode("\n", num_threads=1)) != 2 or len(self.library.encode("", num_threads=1)):
             raise ValueError(f"this model merges across units: {spanning[:3]}")
         self.pieces = {p for i, p in enumerate(pieces) if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i))}
-        self.longest = max(map(len, self.pieces))
+        self.reach: dict[str, int] = {}  # a character -> the longest piece that ends with it
+        for p in self.pieces:
+            self.reach[p[-1]] = max(self.reach.get(p[-1], 0), len(p))
         self.fits: dict[tuple[str, str], bool] = {}
-        self.stops = not any(re.search(r"[^\W\d_][.,]", p) for p in self.pieces)
-
-    def _raw(self, text: str) -> int:
-        return len(self.library.encode(text, num_threads=1))
-
-    def ask(self, unit: str) -> int:
-        if unit.startswith(JOINED):
-            return self._raw("\n" + unit[len(JOINED) :]) - 2
-        if unit.startswith("\n"):  # the library puts its space mark first, which this unit does not have
-            return self._raw(unit) - 1
-        return self._raw(unit) if unit else 1
 
-    def total(self, text: str | None) -> int:
-        """Tokens of a whole text: the last entry of its running sums. Where no piece of the vocabulary has a letter
-        before a full stop or comma, those are units too, so fewer distinct units are asked for."""
-        if text and self.stops and SPACE not in text and "  " not in text and text[0] != " ":
-            units = _STOP.sub(" " + JOINED + r"\g<0>", text.replace("\n", " \n")).split(" ")
-        else:
-            units = split_units(text or "")
-        sums = list(accumulate(map(self.__getitem__, units), initial=0))
-        return sums[-1]
-
-    def _pair(self, left: str, right: str) -> bool:
+    def _pair(self, key: tuple[str, str]) -> bool:
         """Whether the library, given these two pieces' characters, keeps the two pieces."""
-        key = (left, right)
-        if key not in self.fits:
-            if len(self.fits) >= CACHE_WORDS:
-                self.fits.clear()
-            got = self.library.encode("\n" + (left + right).replace(SPACE, " "), out_type=str)[2:]
-            self.fits[key] = got == [left, right]
-        return self.fits[key]
-
-    def inside(self, unit: str) -> list[int]:
-        """Token count of each prefix of a unit's own characters, the empty one first; the mark of a unit that has
-        one is its first character."""
+        if len(self.fits) >= CACHE_WORDS:
+            self.fits.clear()
+        got = self.library.encode("\n" + "".join(key).replace(SPACE, " "), out_type=str, num_threads=1)[2:]
+        self.fits[key] = fits = got == [*key]
+        return fits
+
+    def ask(self, unit: str) -> bytes | array:
         s = unit if unit.startswith("\n") else SPACE + unit.replace(" ", SPACE)
-        counts, last = [0], [""]
+        counts, last, pieces, fits, reach = [0], [""], self.pieces, self.fits, self.reach
         for i in range(1, len(s) + 1):
-            for size in range(min(i, self.longest), 0, -1):
-                piece, left = s[i - size : i], last[i - size]
-                if piece in self.pieces and (not left or self._pair(left, piece)):
-                    counts.append(counts[i - size] + 1)
+            for a in range(max(0, i - reach.get(s[i - 1], 0)), i):
+                piece = s[a:i]
+                if piece not in pieces:
+                    continue
+                left = last[a]
+                fit = True if not left else fits.get((left, piece))
+                if fit or (fit is None and self._pair((left, piece))):
+                    counts.append(counts[a] + 1)
                     last.append(piece)
                     break
             else:  # a character outside the vocabulary: its bytes, which merge with nothing
                 counts.append(counts[i - 1] + len(s[i - 1].encode("utf-8", "surrogatepass")))
                 last.append("")
-        return counts
+        return bytes(counts) if counts[-1] < 256 else array("I", counts)
+
+    def total(self, text: str | None) -> int:
+        """Tokens of a whole text."""
+        return sum(self[u][-1] for u in split_units(text or ""))
 
 
 def unit_counts(path: str) -> UnitCounts:
@@ -117,58 +105,63 @@ def split_units(text: str) -> list[str]:
 
 
 class PrefixCounts:
-    """Exact token counts of every prefix of one text."""
+    """Exact token counts of every prefix of one text: the tables of its units and their running sums."""
 
     def __init__(self, text: str | None, path: str) -> None:
-        self.memory = unit_counts(path)
-        self.units = split_units(text or "")
+        units = split_units(text or "")
+        self.tables = list(map(unit_counts(path).__getitem__, units))
         # Characters of the text before each unit; the mark before the first unit is not one of them.
-        self.ends = list(accumulate((len(u) + (not u.startswith("\n")) for u in self.units), initial=-1))
-        self.sums = list(accumulate(map(self.memory.__getitem__, self.units), initial=0))
+        self.ends = list(accumulate((len(u) + (not u.startswith("\n")) for u in units), initial=-1))
+        self.sums = list(accumulate((t[-1] for t in self.tables), initial=0))
 
     @property
     def total(self) -> int:
         return self.sums[-1]
 
+    def fits(self, budget: int) -> bool:
+        """Whether the whole text is within ``budget`` tokens."""
+        return self.sums[-1] <= budget
+
     def at(self, chars: int) -> int:
         """Tokens of the first ``chars`` characters."""
-        if chars <= 0 or not self.units:
+        if chars <= 0 or not self.tables:
             return 0
-        i = min(bisect_right(self.ends, chars) - 1, len(self.units))
-        if i == len(self.units):
+        i = bisect_right(self.ends, chars) - 1
+        if i >= len(self.tables):
             return self.total
-        if self.ends[i] == chars:
-            return self.sums[i]
-        return self.sums[i] + self.memory.inside(self.units[i])[chars - self.ends[i]]
+        return self.sums[i] + self.tables[i][chars - self.ends[i]]
 
     def longest_within(self, budget: int) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens."""
-        for i in range(len(self.units) - 1, -1, -1) if self.total > budget else ():
-            if self.sums[i] > budget + 64 + 4 * len(self.units[i]):
-                continue
-            inside = self.memory.inside(self.units[i])
-            for j in range(len(inside) - 1, 0, -1):
-                if self.sums[i] + inside[j] <= budget:
-                    return max(0, self.ends[i] + j)
-        return 0 if self.total > budget else max(0, self.ends[-1]) if self.units else 0
+        """Characters of the longest prefix of at most ``budget`` tokens. Counts of prefixes may fall where a merge ends, so all
+        units that a prefix within the budget can end in are read, from the last one."""
+        if self.fits(budget):
+            return max(0, self.ends[-1])
+        for i in range(len(self.tables) - 1, -1, -1):
+            if self.sums[i] <= budget:
+                for j in range(len(self.tables[i]) - 1, 0, -1):
+                    if self.sums[i] + self.tables[i][j] <= budget:
+                        return max(0, self.ends[i] + j)
+        return 0
+
+
+def counted(batch: pa.RecordBatch, path: str, limit: int) -> pa.RecordBatch:
+    n_bytes, n_tokens, over = [], [], []
+    for text in column(batch, "text").to_pylist():
+        table = PrefixCounts(text, path)
+        n_bytes.append(len(text.encode("utf-8", "surrogatepass")) if text else 0)
+        n_tokens.append(table.at(len(text)) if text else 0)
+        over.append(not table.fits(limit))
+    return pa.RecordBatch.from_arrays(
+        [column(batch, "doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(over, pa.bool_())],
+        names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    )
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens (the last entry of the text's prefix table) and over_limit of every row."""
+    """doc_id, n_bytes, n_tokens and over_limit of every row, both read from the text's prefix table."""
     path = path or tokenizer_path(MODEL)
     small_batches(docs.sparkSession)
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memory, n_bytes, n_tokens = unit_counts(path), [], []
-        for text in column(batch, "text").to_pylist():
-            n_bytes.append(len(text.encode("utf-8", "surrogatepass")) if text else 0)
-            n_tokens.append(memory.total(text))
-        return pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
-            names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-        )
-
-    return map_batches(docs.select("doc_id", "text"), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs.select("doc_id", "text"), lambda b: counted(b, path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def prefix_tables(docs: DataFrame, path: str | None = None) -> DataFrame:

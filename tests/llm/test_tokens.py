@@ -69,6 +69,28 @@ def test_token_counts(spark, docs_of):
     assert tokencount.token_counts(docs_of(["x"]).limit(0)).count() == 0
 
 
+def test_counts_and_limits_are_read_from_the_tables(monkeypatch):
+    import pyarrow as pa
+
+    path = tokencount.tokenizer_path(tokencount.MODEL)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words here", None]})
+    right = tokencount.counted(batch, path, 4).to_pydict()
+    assert right["n_tokens"] == [len(tokencount.unit_counts(path).library.encode("some words here")), 0] and right["over_limit"] == [False, False]
+    vocab._LOADED.pop(("counts", path))
+    monkeypatch.setattr(tokencount.UnitCounts, "ask", lambda self, unit: bytes(range(0, 2 * len(unit) + 4, 2)))
+    wrong = tokencount.counted(batch, path, 4).to_pydict()
+    assert wrong["n_tokens"] == [2 * len(" some words here"), 0] and wrong["over_limit"] == [True, False]
+    vocab._LOADED.pop(("counts", path))
+
+
+def test_long_words_and_many_tokens():
+    path = tokencount.tokenizer_path(tokencount.MODEL)
+    library = tokencount.unit_counts(path).library
+    for text in ("q" * 3000, "\U0001f600" * 200, "x" * 63 + " " + "日" * 400):
+        table = tokencount.PrefixCounts(text, path)
+        assert [table.at(i) for i in range(0, len(text) + 1, 37)] == [len(library.encode(text[:i])) for i in range(0, len(text) + 1, 37)]
+
+
 def test_orc_round_trip(spark, docs_of, library, tmp_path):
     sample = [None, "", "one two three", *texts(60, 4), "long text " * 9000]
     ids = [5 * (i % 40) for i in range(len(sample))]  # repeated ids
