@@ -1,20 +1,26 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts fall into passages: two neighbouring blocks of ``BLOCK`` words, words in lower case without punctuation. Passages are
-TF-IDF vectors over ``DIM`` signed hash buckets. One pass over all texts makes, for each partition, the buckets'
-document frequencies and a random sketch of the passage matrix (every passage is added with a random sign to one of
-``ROWS`` rows, so the sketch's Gram matrix estimates that of all passages); partitions' sketches are summed in two steps.
-The sketch's singular vectors are the latent space, scaled by the inverse singular values, so that what all texts share
-(function words, a language) does not hide what an item says. A second pass adds neighbouring blocks, projects them, and takes
-passages with a cosine of at least ``COSINE`` to an item as candidates. Cosines are taken twice, of counts and of counts clipped
-to presence, so a word repeated next to an item does not hide it; and every run of ``MIN_ITEM`` words of an item that stands in
+Texts fall into passages: two neighbouring blocks of ``BLOCK`` words, words in lower case without punctuation. A block is the
+set of its words, so a word repeated next to an item does not hide it; a passage is the sum of its two blocks, weighted by the
+inverse document frequencies of ``DIM`` signed hash buckets that stand for the vocabulary. The latent space is a randomised
+singular value decomposition of this matrix A of all passages, in two passes over all texts:
+
+1. Range: every passage is added with a random sign to one of ``ROWS`` columns, which is A' times a sparse random matrix. The
+   document frequencies come from the same pass (they scale A's columns, so they can be applied to the sum). Q is an
+   orthonormal basis of the result, rounded to 1 / ``STEP`` (any basis of the range will do).
+2. Projection: every passage is projected on Q. The sums Z = A' A Q and T = Q' A' A Q over all passages give A' A as
+   Z T^-1 Z' (which counts as a power iteration), and from it the singular vectors and values.
+
+All sums are of integers, so neither file layout nor retried tasks change them; tasks' sums are added in two steps. The ``RANK`` first singular vectors are scaled by the inverse singular values, so that what all
+texts share (function words, a language) does not hide what an item says. A third pass projects passages and takes those with a
+cosine of at least ``COSINE`` to an item as candidates. And every run of ``MIN_ITEM`` words of an item that stands in
 a text word for word makes its passage a candidate whatever the cosine, so verbatim copies are never lost.
 
 A candidate is a leak if the longest common subsequence of the item's words and the words around the passage covers
 ``LCS`` of the item, or ``LCS_WITH_ANSWER`` of it while the item's last ``ANSWER`` words, its answer, are there to
 ``ANSWER_LCS``: a paraphrase that keeps the answer counts, shared phrases do not.
 
-Sizes: sketch and projection have fixed size. Items are broadcast in groups of ``ITEMS``, one scan each.
+Sizes: sums and projection have fixed size. Items are broadcast in groups of ``ITEMS``, one scan each.
 
 Defined results: null and empty texts leak nothing; items of fewer than ``MIN_ITEM`` words leak where
 their words stand one after another anywhere in a text (cosine, LCS and answer 1), items without words nowhere; rows with a null doc_id are searched too; repeated rows are searched one by one (a pair of ids comes once); an
@@ -23,7 +29,7 @@ empty documents or benchmark table gives no hits; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,9 +41,13 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import U64, column, encoded, gram_hashes, map_batches, materialize, mix64, schema_of, small_batches, word_hashes
 from graphloom.session import ship
 
-BLOCK, DIM, ROWS, RANK = 24, 512, 320, 128
-COSINE, LCS, LCS_WITH_ANSWER, ANSWER, ANSWER_LCS = 0.28, 0.7, 0.6, 8, 0.85
-MIN_ITEM, ITEMS, SALTS = 8, 1000, 32
+BLOCK, DIM, ROWS, RANK, STEP = 24, 1024, 160, 128, 256.0
+COSINE, LCS, LCS_WITH_ANSWER, ANSWER, ANSWER_LCS = 0.25, 0.7, 0.6, 8, 0.85
+MIN_ITEM, ITEMS = 8, 1000
+#: Rows that a task's sums travel in, and groups of tasks that are added first.
+LINES, SALTS = 16, 256
+#: Passages that are projected at once.
+PASSAGES = 2048
 
 _PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -63,77 +73,141 @@ def blocks_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[word_text] + (np.arange(first[-1]) - first[word_text]) // BLOCK, text_no, place
 
 
-def _sketch_batch(words: np.ndarray, first: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    block, text_no, place = blocks_of(first)
+def entries(words: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block, bucket and sign of each different bucket in each block, by block; the block's first word of a bucket gives the sign."""
     bucket, sign = buckets(words)
-    n_blocks = len(text_no)
-    seen = np.zeros((n_blocks, DIM), bool)
-    seen[block, bucket] = True
-    key = mix64(mix64(ids[text_no].view(U64) + U64(1)) + place.astype(U64) * U64(0x9E3779B97F4A7C15))
-    row, flip = (key % U64(ROWS)).astype(np.int64), np.where(key >> U64(63), 1.0, -1.0)
-    total = np.bincount(row[block] * DIM + bucket, weights=sign * flip[block], minlength=ROWS * DIM)
-    inner = place[block] > 0  # the passage that begins a block earlier has these words too
-    before = block[inner] - 1
-    total += np.bincount(row[before] * DIM + bucket[inner], weights=sign[inner] * flip[before], minlength=ROWS * DIM)
-    return total, seen.sum(axis=0), n_blocks
+    at = np.unique(block * DIM + bucket, return_index=True)[1]
+    return block[at], bucket[at], sign[at]
 
 
-def corpus_sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sketch of all passages' counts (ROWS x DIM), blocks with each bucket, and the number of blocks."""
+def _chunks(first: np.ndarray, words: int = 100_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many words."""
+    a = 0
+    for b in range(1, len(first)):
+        if first[b] - first[a] >= words or b == len(first) - 1:
+            yield a, b
+            a = b
+
+
+def projected(words: np.ndarray, block: np.ndarray, text_no: np.ndarray, space: np.ndarray) -> Iterator[tuple]:
+    """(lo, hi, vectors of passages lo to hi, joins, and the matrix of blocks lo to hi + 1) for ranges of passages. ``joins`` are
+    the passages, counted from lo, that have a second block."""
+    for lo in range(0, len(text_no), PASSAGES):  # with one block more, for the last passage
+        hi = min(len(text_no), lo + PASSAGES)
+        end = min(len(text_no), hi + 1)
+        x, y = np.searchsorted(block, [lo, end])
+        own, bucket, sign = entries(words[x:y], block[x:y] - lo)
+        matrix = np.zeros((end - lo, DIM), np.float32)
+        matrix[own, bucket] = sign
+        blocks = matrix @ space
+        joins = np.flatnonzero(text_no[lo : end - 1] == text_no[lo + 1 : end])
+        joins = joins[joins < hi - lo]
+        passages = blocks[: hi - lo].copy()
+        passages[joins] += blocks[joins + 1]
+        yield lo, hi, passages, joins, matrix
+
+
+def range_sums(words: np.ndarray, first: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of a batch of texts (``ids``: a hash each): A' times the random matrix before weighting (DIM x ROWS), blocks with each
+    bucket, and the number of blocks, one after another."""
+    block, text_no, place = blocks_of(first)
+    key = mix64(mix64(ids[text_no].view(U64) + U64(1)) + place.astype(U64) * U64(0x9E3779B97F4A7C15))
+    row, flip = (key % U64(ROWS)).astype(np.int64), np.where(key >> U64(63), 1.0, -1.0)
+    own, bucket, sign = entries(words, block)
+    total = np.bincount(bucket * ROWS + row[own], weights=sign * flip[own], minlength=ROWS * DIM)
+    inner = place[own] > 0  # the passage that begins a block earlier has these words too
+    before = own[inner] - 1
+    total += np.bincount(bucket[inner] * ROWS + row[before], weights=sign[inner] * flip[before], minlength=ROWS * DIM)
+    return np.concatenate([total, np.bincount(bucket, minlength=DIM), [len(text_no)]])
+
+
+def projection_sums(words: np.ndarray, first: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Of a batch of texts: the passages' unweighted entries times their projections (DIM x ROWS), and the projections'
+    products (ROWS x ROWS), one after another. ``basis`` is weighted, in whole steps."""
+    block, text_no, _ = blocks_of(first)
+    z, t = np.zeros((DIM, ROWS)), np.zeros((ROWS, ROWS))
+    for _, _, passages, joins, matrix in projected(words, block, text_no, basis):
+        wide = passages.astype(float)
+        t += wide.T @ wide
+        weight = np.zeros((len(matrix), ROWS))
+        weight[: len(passages)] = wide
+        weight[joins + 1] += wide[joins]
+        kind = np.float32 if np.abs(weight).sum(axis=0).max() < 1 << 24 else float  # sums stay exact
+        z += matrix.astype(kind).T @ weight.astype(kind)
+    return np.concatenate([z.ravel(), t.ravel()])
+
+
+def _summed(docs: DataFrame, size: int, batch_sums: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``batch_sums`` of words, texts' bounds and hashes, added over all texts of ``docs``."""
     small_batches(docs.sparkSession)
     ship(docs.sparkSession)
+    cut = -(-size // LINES)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, df, n = np.zeros(ROWS * DIM), np.zeros(DIM), 0
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros(cut * LINES), False
         for batch in batches:
             words, first = plain_words(column(batch, "text").to_pylist())
             keys = np.asarray(column(batch, "key"))
             for a, b in _chunks(first):
-                part = _sketch_batch(words[first[a] : first[b]], first[a : b + 1] - first[a], keys[a:b])
-                total, df, n = total + part[0], df + part[1], n + part[2]
-        if n:
-            rows = [*total.reshape(ROWS, DIM), np.append(df, n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(ROWS + 1, dtype=np.int32)), pa.array([x.astype("<f8").tobytes() for x in rows], pa.binary())], names=["line", "sums"]
-            )
+                if first[b] > first[a]:
+                    total[:size] += batch_sums(words[first[a] : first[b]], first[a : b + 1] - first[a], keys[a:b])
+                    some = True
+        if some:
+            rows = [x.astype("<f8").tobytes() for x in total.reshape(LINES, cut)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(LINES, dtype=np.int32)), pa.array(rows, pa.binary())], names=["line", "sums"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         return group.head(1).assign(sums=sum(np.frombuffer(x, "<f8") for x in group["sums"]).tobytes())
 
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("key")).filter("text IS NOT NULL")
-    parts = keyed.mapInArrow(sketch, "line int, sums binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    parts = keyed.mapInArrow(sums, "line int, sums binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     some = parts.groupBy("line", "salt").applyInPandas(add, "line int, sums binary, salt int")
-    found = {r["line"]: np.frombuffer(r["sums"], "<f8") for r in some.groupBy("line").applyInPandas(add, "line int, sums binary, salt int").collect()}  # ROWS + 1 rows
-    if not found:
-        return np.zeros((ROWS, DIM)), np.zeros(DIM), 0
-    return np.stack([found[i] for i in range(ROWS)]), found[ROWS][:-1], int(found[ROWS][-1])
-
-
-def _chunks(first: np.ndarray, words: int = 100_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about so many words."""
-    a = 0
-    for b in range(1, len(first)):
-        if first[b] - first[a] >= words or b == len(first) - 1:
-            yield a, b
-            a = b
-
-
-def latent_space(sketch: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
-    """DIM x RANK: weights of buckets and scaled singular vectors."""
-    idf = np.log((n + 1) / (df + 1)) + 1e-3
-    _, s, vt = np.linalg.svd(sketch * idf, full_matrices=False)
-    s, vt = s[:RANK], vt[:RANK]
-    return (idf[:, None] * vt.T / np.maximum(s, 1e-9 * max(s[0], 1e-9))).astype(np.float32) if n else np.zeros((DIM, RANK), np.float32)
-
-
-def bucket_counts(words: np.ndarray, block: np.ndarray, n_blocks: int) -> np.ndarray:
-    bucket, sign = buckets(words)
-    return np.bincount(block * DIM + bucket, weights=sign, minlength=n_blocks * DIM).astype(np.float32).reshape(n_blocks, DIM)
-
-
-def projections(counts: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Latent vectors of passages' bucket counts, and of the counts clipped to presence."""
-    return counts @ space, np.clip(counts, -1, 1) @ space
+    found = some.groupBy("line").applyInPandas(add, "line int, sums binary, salt int").collect()  # LINES rows
+    total = np.zeros((LINES, cut))
+    for r in found:
+        total[r["line"]] = np.frombuffer(r["sums"], "<f8")
+    return total.ravel()[:size]
+
+
+def weights_of(df: np.ndarray, n: float) -> np.ndarray:
+    """Inverse document frequencies of the buckets."""
+    return np.log((n + 1) / (df + 1)) + 1e-3
+
+
+def basis_of(sums: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """DIM x ROWS: a basis of the range, weighted, in whole steps."""
+    return np.rint(np.linalg.qr(sums.reshape(DIM, ROWS) * idf[:, None])[0] * idf[:, None] * STEP).astype(np.float32)
+
+
+def decomposed(z: np.ndarray, t: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The RANK first right singular vectors of A (DIM x RANK) and its singular values, from A' A Q (before weighting) and
+    Q' A' A Q, both in steps."""
+    z, t = z.reshape(DIM, ROWS) * idf[:, None] / STEP, t.reshape(ROWS, ROWS) / STEP**2
+    values, vectors = np.linalg.eigh((t + t.T) / 2)
+    held = values > 1e-9 * max(values[-1], 1e-300)
+    root = vectors[:, held] / np.sqrt(values[held])
+    u, s, _ = np.linalg.svd(z @ root, full_matrices=False)
+    return u[:, :RANK], s[:RANK]
+
+
+def latent_space(docs: DataFrame) -> np.ndarray:
+    """DIM x RANK: weights of buckets and scaled singular vectors of all passages of ``docs``."""
+    found = _summed(docs, DIM * ROWS + DIM + 1, range_sums)
+    n = found[-1]
+    if not n:
+        return np.zeros((DIM, RANK), np.float32)
+    idf = weights_of(found[-1 - DIM : -1], n)
+    shared = docs.sparkSession.sparkContext.broadcast(basis_of(found[: DIM * ROWS], idf))  # DIM x ROWS
+    found = _summed(docs, DIM * ROWS + ROWS * ROWS, lambda words, first, _: projection_sums(words, first, shared.value))
+    return scaled(*decomposed(found[: DIM * ROWS], found[DIM * ROWS :], idf), idf)
+
+
+def scaled(vectors: np.ndarray, values: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights and vectors in one, so that all kept directions count alike; those with next to nothing in them are left out."""
+    out = np.zeros((DIM, RANK), np.float32)
+    held = values > 1e-3 * max(values.max(initial=0.0), 1e-300)
+    out[:, : len(values)][:, held] = idf[:, None] * vectors[:, held] / values[held]
+    return out
 
 
 def lcs_length(masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -174,14 +248,15 @@ class Items:
             sizes.append(len(own))
             masks.append(_masks(own))
             answers.append((_masks(tail), len(tail)))
-            both = projections(bucket_counts(words[a:b], np.zeros(b - a, np.int64), 1), space)
-            vectors.append([v[0] / max(float(np.linalg.norm(v[0])), 1e-12) for v in both])
+            _, bucket, sign = entries(words[a:b], np.zeros(b - a, np.int64))
+            vector = sign @ space[bucket]
+            vectors.append(vector / max(float(np.linalg.norm(vector)), 1e-12))
             runs.setdefault(MIN_ITEM, []).append((np.unique(gram_hashes(words[a:b], MIN_ITEM)), len(ids) - 1))
         vocabulary = np.array(sorted({w for m in masks for w in m} | {w for _, own in short for w in own.tolist()}), U64)
         has = np.zeros((len(ids), len(vocabulary) + 1), bool)
         for j, m in enumerate(masks):
             has[j, np.searchsorted(vocabulary, np.array(list(m), U64))] = True
-        vectors = np.array(vectors, np.float32).reshape(len(ids), 2, space.shape[1])
+        vectors = np.array(vectors, np.float32).reshape(len(ids), space.shape[1])
         for item_id, own in short:  # after the others
             ids.append(item_id)
             runs.setdefault(len(own), []).append((gram_hashes(own, len(own)), len(ids) - 1))
@@ -226,16 +301,8 @@ class Items:
                         best[a + t, int(run_item[i])] = 1.0, 1.0, 1.0, int(start[t] - run_at[i])
             run_at, run_item = self.copied(MIN_ITEM, own, start, known)
             run_block = block[run_at]
-            for lo in range(0, len(text_no), 4096):  # with one block more, for the last passage
-                hi = min(len(text_no), lo + 4096)
-                end = min(len(text_no), hi + 1)
-                x, y = np.searchsorted(block, [lo, end])
-                z = bucket_counts(own[x:y], block[x:y] - lo, end - lo)
-                pair = z[: hi - lo].copy()
-                joins = np.flatnonzero(text_no[lo : end - 1] == text_no[lo + 1 : end])
-                joins = joins[joins < hi - lo]
-                pair[joins] += z[joins + 1]
-                cos = self._cosines(pair)
+            for lo, hi, passages, *_ in projected(own, block, text_no, self.space):
+                cos = (passages / np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)) @ self.vectors.T
                 near = cos >= COSINE
                 here = (run_block >= lo) & (run_block < hi)
                 near[run_block[here] - lo, run_item[here]] = True
@@ -259,11 +326,6 @@ class Items:
                         best[key] = max(best.get(key, found), found)
         return [(t, j, -f[3], f[2], f[0], f[1]) for (t, j), f in sorted(best.items())]
 
-    def _cosines(self, counts: np.ndarray) -> np.ndarray:
-        """The larger cosine of the two projections, passages x items."""
-        sides = [(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)) @ self.vectors[:, k].T for k, z in enumerate(projections(counts, self.space))]
-        return np.maximum(*sides)
-
 
 def _masks(words: list[int]) -> dict[int, int]:
     out: dict[int, int] = {}
@@ -283,7 +345,7 @@ def _item_groups(benchmark: DataFrame, space: np.ndarray) -> Iterator[Items]:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, cosine, lcs and answer of every document with a passage of an item."""
-    space = latent_space(*corpus_sketch(docs))
+    space = latent_space(docs)
     out = None
     for items in _item_groups(benchmark, space):
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -310,7 +372,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item leaks, in one scan for each group of items."""
-    space = latent_space(*corpus_sketch(docs))
+    space = latent_space(docs)
     schema = schema_of(docs)
     for items in _item_groups(benchmark, space):
         shared = docs.sparkSession.sparkContext.broadcast(items)

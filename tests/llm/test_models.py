@@ -134,9 +134,7 @@ def test_copies_in_repetitive_texts(words):
     rng = random.Random(4)
     items = [words(n, 40_000 + i) for i, n in enumerate([*range(15, 60)] * 3)]
     corpus = [words(300, 50_000 + i) for i in range(200)]
-    h, first = decontam.plain_words(corpus)
-    sums, df, n = decontam._sketch_batch(h, first, np.arange(len(corpus)))
-    space = decontam.latent_space(sums.reshape(decontam.ROWS, decontam.DIM), df, n)
+    space = space_of(corpus)
     search = decontam.Items.build([{"item_id": i, "text": t} for i, t in enumerate(items)], space)
     texts, spoken, host = [], [], words(20, 3).split() + [f"zq{i}" for i in range(20)]
     for i, t in enumerate(items):
@@ -163,23 +161,70 @@ def test_common_subsequence_against_table():
         assert decontam.lcs_length(decontam._masks(a), len(a), b) == t[-1][-1]
 
 
-def test_sketch_keeps_the_gram_matrix(spark, docs_of, words):
-    texts = [words(200, i) for i in range(60)]
-    sketch, df, n = decontam.corpus_sketch(docs_of(texts))
+def space_of(texts):
     h, first = decontam.plain_words(texts)
-    block, text_no, place = decontam.blocks_of(first)
-    bucket, sign = decontam.buckets(h)
-    x = np.zeros((len(text_no), decontam.DIM))
-    np.add.at(x, (block, bucket), sign)
-    pairs = x.copy()
-    inner = np.flatnonzero(text_no[:-1] == text_no[1:])
-    pairs[inner] += x[inner + 1]
-    assert n == len(text_no) and (df == (np.abs(_presence(block, bucket, len(text_no)))).sum(axis=0)).all()
-    true, got = pairs.T @ pairs, sketch.T @ sketch
-    assert np.corrcoef(true.ravel(), got.ravel())[0, 1] > 0.8 and abs(np.trace(got) / np.trace(true) - 1) < 0.2
-
-
-def _presence(block, bucket, n):
-    out = np.zeros((n, decontam.DIM), bool)
-    out[block, bucket] = True
-    return out
+    found = decontam.range_sums(h, first, np.arange(len(texts)))
+    size = decontam.DIM * decontam.ROWS
+    idf = decontam.weights_of(found[size:-1], found[-1])
+    basis = decontam.basis_of(found[:size], idf)
+    found = decontam.projection_sums(h, first, basis)
+    return decontam.scaled(*decontam.decomposed(found[:size], found[size:], idf), idf)
+
+
+def plain_matrix(texts):
+    """Passages x buckets, weighted, word by word."""
+    rows, seen = [], np.zeros(decontam.DIM)
+    for t in texts:
+        h = decontam.plain_words([t])[0]
+        blocks = []
+        for k in range(0, len(h), decontam.BLOCK):
+            x = np.zeros(decontam.DIM)
+            for b, s in zip(*decontam.buckets(h[k : k + decontam.BLOCK]), strict=True):
+                x[b] = x[b] or s
+            blocks.append(x)
+            seen += x != 0
+        rows += [x + (blocks[i + 1] if i + 1 < len(blocks) else 0) for i, x in enumerate(blocks)]
+    idf = np.log((len(rows) + 1) / (seen + 1)) + 1e-3
+    return np.array(rows) * idf, idf
+
+
+def test_randomised_decomposition_against_the_exact_one(spark, docs_of, words, monkeypatch):
+    """Topics make a spectrum that falls; on more rows than its rank the exact decomposition is found."""
+    topics = [words(12, 60_000 + k) for k in range(40)]
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(topics[i % 40].split()) for _ in range(rng.randint(30, 200))) for i in range(400)] + ["", "word"]
+    a, idf = plain_matrix([t for t in texts if t])
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    got = {}
+    real = decontam.scaled
+    monkeypatch.setattr(decontam, "scaled", lambda v, s, idf: got.update(v=v, s=s, idf=idf) or real(v, s, idf))
+    space = decontam.latent_space(docs_of([*texts, None]))
+    assert np.allclose(got["idf"], idf) and np.allclose(got["s"][:40], s[:40], rtol=0.01)
+    k = 40  # the topics
+    assert np.linalg.norm(vt[:k] - vt[:k] @ got["v"][:, :100] @ got["v"][:, :100].T) < 0.1 * np.sqrt(k)
+    assert (space == decontam.latent_space(docs_of([*texts, None]).repartition(7))).all()  # whatever the layout
+    assert not decontam.latent_space(docs_of([None, ""])).any()
+
+
+def test_candidates_against_all_items(words):
+    """Every paraphrase that an exhaustive comparison of all passages and items finds is found, but for a few in a hundred."""
+    rng = random.Random(6)
+    items = [words(n, 70_000 + i) for i, n in enumerate([15, 25, 35, 45, 59] * 8)]
+    corpus = [words(300, 80_000 + i) for i in range(200)]
+    space = space_of(corpus)
+    rows = [{"item_id": i, "text": t} for i, t in enumerate(items)]
+    search = decontam.Items.build(rows, space)
+    texts = []
+    for share in (0, 0.2, 0.28, 0.38):
+        for t in items:
+            w = [f"other{rng.randrange(10**6)}" if rng.random() < share else x for x in t.split()]
+            around = words(260, rng.randrange(10**6)).split()
+            k = rng.randint(0, 200)
+            texts.append(" ".join([*around[:k], *w, *around[k:]]))
+    got = {(t, j) for t, j, *_ in search.find(texts)}
+    least, decontam.COSINE = decontam.COSINE, -2.0
+    try:
+        want = {(t, j) for t, j, *_ in search.find(texts)}
+    finally:
+        decontam.COSINE = least
+    assert got <= want and {(i, i) for i in range(len(items))} <= got and len(got) >= 0.97 * len(want) > 60
