@@ -89,8 +89,8 @@ def format_conversations(messages: DataFrame, content: str | None = None) -> Dat
     """One row per conversation: ``formatted``, ``turn_starts`` and ``loss_spans`` (code points from 0 in
     ``formatted``; a span covers an assistant's content), ``attachments`` in order of their placeholders, and
     ``attachment_tokens``, the expanded count. ``messages`` has conv_id, turn, role and text, or with ``content``
-    a column of PART lists instead of text. Escaping happens for each row before rows meet; a conversation's rows
-    are then gathered once, as they must be for one string."""
+    a column of PART lists instead of text. A conversation's rows are gathered once, as they must be for one
+    string, put in order by their plain texts, then escaped."""
     parts = F.coalesce(F.col(content), F.array().cast(T.ArrayType(PART))) if content else text_part(F.col("text"))
     rows = messages.select(
         "conv_id",
@@ -100,13 +100,13 @@ def format_conversations(messages: DataFrame, content: str | None = None) -> Dat
     )
     visited = rows.select(
         "conv_id", "turn", "role",
-        # Each part: its escaped text, or null where a numbered placeholder goes once the order is known.
+        # Each part: its text, or null where a numbered placeholder goes once the order is known.
         F.transform("parts", lambda p: F.struct(
-            F.when(_is_text(p), escape(p["text"])).alias("text"),
+            F.when(_is_text(p), F.coalesce(p["text"], F.lit(""))).alias("text"),
             F.when(_is_text(p), F.lit(None)).otherwise(p["kind"]).alias("kind"),
             p["ref"].alias("ref"), _tokens(p).alias("tokens"))).alias("parts"),
     )
-    order = F.struct("turn", "role", F.transform("parts", lambda p: p["text"]).alias("texts"), "parts")
+    order = F.struct("turn", "role", "parts")  # plain texts: escaped ones would sort otherwise
     turns = (
         visited.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(order)).alias("turns"))
@@ -122,12 +122,12 @@ def format_conversations(messages: DataFrame, content: str | None = None) -> Dat
         )
 
     def flatten_parts(t: Column, first: Column) -> Column:
-        plain = F.array_join(F.transform(t["parts"], lambda p: p["text"]), "")
+        plain = escape(F.array_join(F.transform(t["parts"], lambda p: p["text"]), ""))
         numbered = F.aggregate(
             t["parts"],
             F.struct(F.lit("").alias("s"), first.cast("long").alias("k")),
             lambda a, p: F.struct(
-                F.concat(a["s"], F.coalesce(p["text"], F.concat(F.lit("<|"), p["kind"], F.lit(":"), (a["k"] + 1).cast("string"), F.lit("|>")))).alias("s"),
+                F.concat(a["s"], F.when(p["kind"].isNull(), escape(p["text"])).otherwise(F.concat(F.lit("<|"), p["kind"], F.lit(":"), (a["k"] + 1).cast("string"), F.lit("|>")))).alias("s"),
                 (a["k"] + p["kind"].isNotNull().cast("long")).alias("k"),
             ),
             lambda a: a["s"],
@@ -254,9 +254,9 @@ WITH rows AS (
   SELECT *, 14 + length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) AS chars FROM rows
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """

@@ -1,7 +1,7 @@
 """What the operators of this subpackage share: scratch tables, Arrow batches, hashes of words.
 
 Scratch tables are Parquet in the shared folder of ``spark.checkpoint.dir``, so they outlive any
-executor; where that setting is missing (tests), a temporary folder is set once per session.
+executor; where that setting is missing in local mode (tests), a temporary folder is set once per session.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from graphloom.session import ship
 
-#: Rows a batch handed to Python holds at most; texts are long, so batches are short.
-BATCH_ROWS = 512
+#: Rows and bytes a batch handed to Python holds at most (one longer row makes a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: A side is broadcast only if its counted rows, times the bytes a row takes there, stay below this.
 BROADCAST_BYTES = 48 << 20
 
@@ -26,9 +26,12 @@ U64 = np.uint64
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, set only where unset."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``. Where that is unset, a temporary folder in local
+    mode, an error on a cluster: its executors and driver share no temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -40,20 +43,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table; results that are still lazy can't be computed after that."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/graphloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_root(spark)}/graphloom")
+    _WRITTEN.clear()
+
+
+#: Scratch tables that this driver wrote and has not dropped, in order.
+_WRITTEN: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Long texts: fewer rows in each Arrow batch, so that a Python worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def scratch_mark() -> int:
+    """How many scratch tables there are so far, for ``settle``."""
+    return len(_WRITTEN)
+
+
+def settle(df: DataFrame, name: str, mark: int) -> DataFrame:
+    """``materialize``, and drop the scratch tables written since ``mark``, which only ``df`` was made of."""
+    out = materialize(df, name)
+    for path in _WRITTEN[mark:-1]:
+        _delete(df.sparkSession, path)
+    del _WRITTEN[mark:-1]
+    return out
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts: fewer rows in each Arrow batch, so that a Python worker's memory stays bounded. The same for all operators, as
+    the session has one setting and plans are lazy."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def semi_by_id(rows: DataFrame, ids: DataFrame, on: list[str], row_bytes: int = 64) -> DataFrame:

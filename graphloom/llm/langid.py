@@ -6,8 +6,10 @@ all bits: a bit's loss is log(1 + exp(-bit * margin)), weighted by that bit's ac
 to the runner-up is the ambiguity flag; the losses turned into probabilities give the score.
 
 Few languages get the exhaustive code (all 2^(k-1) - 1 splits), more get random codewords that are far apart.
-Training takes a bounded sample: at most ``per_lang`` labelled rows of each language, by hash of their id (a threshold on
-the hash from exact counts, then a hard limit), whole texts and short cuttings of them. Predictions read whole texts.
+Training takes a bounded sample: at most ``per_lang`` labelled rows of each language, the first by a hash of id and text (a
+total order, so neither file layout nor retried tasks change it), whole texts and short cuttings of them. A text is ambiguous if
+its distance to the runner-up is below the one under which predictions are more often wrong than right; that is measured in
+training, on a quarter of the sample that a first model has not seen. Predictions read whole texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 (ambiguous); if no language is
 learned, all is ``und``; rows without lang or doc_id are never learned from; repeated rows are predicted one by one; ties
@@ -74,6 +76,12 @@ class Model:
     weights: np.ndarray  # DIM x bits
     bias: np.ndarray
     trust: np.ndarray  # of bits
+    doubt: float = 0.0  # loss to the runner-up, in parts of the bits' total trust, under which a text is ambiguous
+
+    def losses(self, x: np.ndarray) -> np.ndarray:
+        """Weighted loss of each row of features against each language's codeword."""
+        margins = x @ self.weights + self.bias
+        return (np.logaddexp(0, -margins[:, None, :] * self.code[None]) * self.trust).sum(axis=2)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, ambiguous) of each text."""
@@ -83,28 +91,33 @@ class Model:
         usable = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
         for k in range(0, len(usable), 128):
             part = usable[k : k + 128]
-            margins = np.stack([features(texts[i]) for i in part]) @ self.weights + self.bias
-            loss = (np.logaddexp(0, -margins[:, None, :] * self.code[None]) * self.trust).sum(axis=2)
+            loss = self.losses(np.stack([features(texts[i]) for i in part]))
             order = np.argsort(loss, axis=1, kind="stable")
             odds = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
             prob = odds.max(axis=1) / odds.sum(axis=1)
             for j, i in enumerate(part):
                 gap = loss[j, order[j, 1]] - loss[j, order[j, 0]] if len(self.langs) > 1 else 1.0
-                out[i] = (self.langs[order[j, 0]], float(prob[j]), bool(gap < AMBIGUOUS * self.trust.sum()))
+                out[i] = (self.langs[order[j, 0]], float(prob[j]), bool(gap <= self.doubt * self.trust.sum()))
         return out
 
 
-#: Loss to the runner-up, in parts of the bits' total trust, under which a text is ambiguous.
-AMBIGUOUS = 0.005
+def doubt_of(gaps: np.ndarray, right: np.ndarray) -> float:
+    """The distance up to which flagging gains most: wrong predictions flagged less right ones. Ties go to the smaller one; no
+    gain is 0, so that only equal losses are flagged."""
+    order = np.argsort(gaps, kind="stable")
+    gain = np.cumsum(np.where(right[order], -1, 1))
+    gain = np.where(np.append(gaps[order][1:] != gaps[order][:-1], True), gain, -len(gaps))[: len(gaps)]  # equal gaps go together
+    return float(gaps[order][int(np.argmax(gain))]) if len(gaps) and gain.max() > 0 else 0.0
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 5, rounds: int = 80) -> Model:
-    """Regularised logistic regression of every bit at once, by accelerated gradient steps."""
+    """Regularised logistic regression of every bit at once, by accelerated gradient steps; ``doubt`` from a model of three
+    quarters of the rows on the others."""
     names = sorted(set(langs))
     code = codewords(len(names))
     rng = np.random.default_rng(seed)
-    rows, y = [], []
-    for text, lang in zip(texts, langs, strict=True):
+    rows, y, held = [], [], []
+    for k, (text, lang) in enumerate(zip(texts, langs, strict=True)):
         cuts = [text]
         for size in (12, 40, 120):
             if len(text) > size:
@@ -114,10 +127,23 @@ def fit(texts: list[str], langs: list[str], seed: int = 5, rounds: int = 80) ->
             if LETTER.search(cut):
                 rows.append(features(cut))
                 y.append(names.index(lang))
+                held.append(k % 4 == 0)
     if not rows:
         return Model([], np.ones((0, 1)), np.zeros((DIM, 1), np.float32), np.zeros(1), np.ones(1))
-    x, target = np.stack(rows), code[np.array(y)].astype(np.float32)
-    share = np.bincount(y, minlength=len(names))[np.array(y)].astype(np.float32)
+    x, y, held = np.stack(rows), np.array(y), np.array(held)
+    doubt = 0.0
+    if len(names) > 1 and held.any() and len(set(y[~held])) == len(names):
+        first = _fitted(x[~held], y[~held], names, code, rounds)
+        loss = np.sort(first.losses(x[held]), axis=1)
+        doubt = doubt_of((loss[:, 1] - loss[:, 0]) / first.trust.sum(), first.losses(x[held]).argmin(axis=1) == y[held])
+    model = _fitted(x, y, names, code, rounds)
+    model.doubt = doubt
+    return model
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, names: list[str], code: np.ndarray, rounds: int) -> Model:
+    target = code[y].astype(np.float32)
+    share = np.bincount(y, minlength=len(names))[y].astype(np.float32)
     weight = (1 / share)[:, None] / len(names)  # languages count alike
     w, b = np.zeros((DIM, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     look_w, look_b, t = w, b, 1.0
@@ -132,14 +158,15 @@ def fit(texts: list[str], langs: list[str], seed: int = 5, rounds: int = 80) ->
 
 
 def training_rows(docs: DataFrame, per_lang: int, held_out: Column) -> list:
-    """(text, lang) of at most ``per_lang`` labelled rows a language, chosen by a hash of the id."""
+    """(text, lang) of at most ``per_lang`` labelled rows a language, the first by a hash of id and text."""
     pool = docs.filter(~held_out & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    pool = pool.select("text", "lang", "doc_id", F.xxhash64("doc_id", "text").alias("hash"))
+    draw = F.pmod("hash", F.lit(1_000_000))  # a bound on what is sorted
     rows = []
     for lang, n in sorted(counts.items()):
         share = min(1_000_000, int(1.3 * per_lang / n * 1_000_000) + 1)
-        rows += pool.filter((F.col("lang") == lang) & (draw < share)).select("text", "lang").limit(per_lang).collect()
+        rows += pool.filter((F.col("lang") == lang) & (draw < share)).orderBy(draw, "hash", "doc_id", "text").limit(per_lang).collect()
     return rows
 
 

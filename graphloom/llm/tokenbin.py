@@ -54,7 +54,7 @@ def encode_rows(docs: DataFrame, path: str, end: int = END_ID) -> DataFrame:
 
 def write_tokens(docs: DataFrame, out: str, path: str | None = None, end: int = END_ID, files: int | None = None) -> None:
     """Encode every text of ``docs`` and write the ids to ORC files under ``out``, in ascending doc_id order."""
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     if files is None:
         chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(1, -(-chars // FILE_TEXT_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
@@ -81,7 +81,7 @@ def _crcs(ids: pa.Array) -> list[int]:
 
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """file, doc_id, n_tokens and ids_crc32 of each stored document; ``with_starts`` adds the starts."""
-    small_batches(spark, 256)
+    small_batches(spark)
     stored = spark.read.schema("doc_id long, tie long, ids array<int>").orc(out).select("doc_id", "tie", "ids", F.col("_metadata.file_name").alias("file"))
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:

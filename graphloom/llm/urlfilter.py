@@ -16,6 +16,7 @@ one by one; an empty table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -114,7 +115,8 @@ def _blocks(rules: list[Rule]) -> list[list[Rule]]:
     return out
 
 
-_tries: dict[int, UrlTrie] = {}
+#: This worker's trie, by a name that is new for each broadcast.
+_tries: dict[str, UrlTrie] = {}
 
 
 def judge_urls(pages: DataFrame, rules: Iterable[Rule], default: str = "allow") -> DataFrame:
@@ -124,38 +126,33 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule], default: str = "allow")
         "page_id", "url", "cast(null as int) labels", "cast(null as int) chars", "cast(null as string) verdict", "cast(null as string) rule"
     )
     schema = "page_id long, url string, labels int, chars int, verdict string, rule string"
-    for block in _blocks(list(rules)):
-        shared = sc.broadcast(block)
+    blocks = _blocks(list(rules))
+    for k, block in enumerate(blocks):
+        shared, key, last = sc.broadcast(block), uuid.uuid4().hex, k == len(blocks) - 1
 
-        def apply(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            key = id(shared.value)
+        def apply(batch: pa.RecordBatch, shared=shared, key=key, last=last) -> pa.RecordBatch:
             if key not in _tries:
                 _tries.clear()
                 _tries[key] = UrlTrie(shared.value)
-            trie = _tries[key]
-            rows = zip(*(column(batch, n).to_pylist() for n in ("url", "labels", "chars", "verdict", "rule")), strict=True)
-            out = []
-            for url, *best in rows:
-                found = trie.match(*split_url(url))
+            trie, parts, out = _tries[key], [], []
+            for url, *best in zip(*(column(batch, n).to_pylist() for n in ("url", "labels", "chars", "verdict", "rule")), strict=True):
+                parts.append(split_url(url))
+                found = trie.match(*parts[-1])
                 if found and (best[0] is None or (found[0], found[1], found[2]) > (best[0], best[1], best[2])):
                     best = list(found)  # "block" sorts after "allow"
                 out.append(best)
+            if last:
+                cols = [[h for h, _ in parts], [p for _, p in parts], [x[3] for x in out], [x[2] or default for x in out]]
+                return pa.RecordBatch.from_arrays(
+                    [column(batch, "page_id"), *(pa.array(c, pa.string()) for c in cols)], names=["page_id", "host", "path", "rule", "verdict"]
+                )
             cols = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
             return pa.RecordBatch.from_arrays(
                 [column(batch, "page_id"), column(batch, "url"), *cols], names=["page_id", "url", "labels", "chars", "verdict", "rule"]
             )
 
-        state = map_batches(state, apply, schema)
-
-    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = [split_url(u) for u in column(batch, "url").to_pylist()]
-        verdicts = [v or default for v in column(batch, "verdict").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [column(batch, "page_id"), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), column(batch, "rule"), pa.array(verdicts, pa.string())],
-            names=["page_id", "host", "path", "rule", "verdict"],
-        )
-
-    return map_batches(state, finish, "page_id long, host string, path string, rule string, verdict string")
+        state = map_batches(state, apply, "page_id long, host string, path string, rule string, verdict string" if last else schema)
+    return state
 
 
 #: The rules of the registered query.

@@ -7,6 +7,7 @@ worker asks the library once for each distinct piece it holds in its bounded mem
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -55,8 +56,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The steps before the merges that the memory by word rests on: lower case, and no token across white space, in which a run of
+#: letters is one piece and a stop after a letter another.
+_STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_words(file: dict) -> bool:
+    """Whether a tokenizer file's steps are those that ``WordIds`` can take word by word."""
+    norm, pre = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    steps, cuts = norm.get("normalizers", []), pre.get("pretokenizers", [])
+    if ([s.get("type") for s in steps], [s.get("type") for s in cuts]) != _STEPS:
+        return False
+    white = steps[1].get("pattern") == {"Regex": r"\s+"} and steps[1].get("content") == " "
+    apart = cuts[0].get("pattern") == {"Regex": _SPLIT} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True
+    plain = not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex") and file.get("post_processor") is None
+    special = all(t.get("special") and not re.search(r"\s", t["content"]) and not t.get("lstrip") and not t.get("rstrip") for t in file.get("added_tokens", []))
+    return white and apart and plain and special and file.get("model", {}).get("type") == "BPE"
+
+
 class WordIds(Memory):
-    """bytes of a word without ASCII white space -> its ids as little-endian 32-bit integers."""
+    """bytes of a word without ASCII white space -> its ids as little-endian 32-bit integers. A tokenizer file with other steps
+    encodes whole texts."""
 
     _SIMPLE = re.compile(r"[a-zß-öø-ÿ]+")
     _OTHER = re.compile("[^\x00-\xff]")
@@ -71,6 +92,8 @@ class WordIds(Memory):
         self.library.no_padding()
         self.model = self.library.model
         self.letters = _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            self.by_word = splits_at_words(json.load(f))
 
     def ask(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
@@ -84,6 +107,9 @@ class WordIds(Memory):
         """The ids of a whole text, little-endian, 4 bytes each."""
         if not text:
             return b""
+        if not self.by_word:
+            found = self.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(found)}I", *found)
         if not self._OTHER.search(text):  # the library folds case, and takes a stop after a letter by itself
             text = self._STOP.sub(r" \g<0>", text.lower())
         return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
