@@ -9,8 +9,9 @@ happens on the histogram of piece lengths (at most ``capacity`` entries, whateve
 4. pack what remains by best fit, longest pieces first, whole groups of equal sequences at a time.
 
 The plan is a list of (pattern, repeats). A piece finds its place by its rank among the pieces of its length: ranks
-are counted within (length, salt) groups and offset by the groups' sums, so a length that a third of all pieces share
-is dealt over ``SALTS`` groups.
+are counted within (length, salt) groups and offset by the groups' sums. A length has as many salts as its pieces need
+(groups of about ``GROUP_ROWS``, larger ones only where that would make more than ``GROUPS``), so a length that a third of all
+pieces share is no task of its own.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed each; an empty table packs
 nothing; other columns are ignored.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import column, map_batches, materialize, small_batches
 from graphloom.llm.vocab import tokenizer_path, word_ids
 
-TOKENIZER, END_ID, CAPACITY, SALTS = "word_bpe_49k.json", 0, 2048, 64
+TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 0, 2048
+GROUP_ROWS, GROUPS = 5_000, 100_000
 #: Of the histogram, the shares that patterns are fitted to (the rest keeps short pieces for best fit), sweeps of
 #: the fit, and patterns kept for each longest piece.
 FIT_SHARES, SWEEPS, PER_LENGTH, SPARE = (0.9, 0.75, 0.5, 0.25, 0.1, 0.05), 40, 5, 500
@@ -188,15 +190,18 @@ def pieces(docs: DataFrame, path: str | None = None, end: int = END_ID, capacity
 
 def pack(docs: DataFrame, path: str | None = None, end: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Every piece with its sequence_id and offset there."""
-    rows = materialize(
-        pieces(docs, path, end, capacity).withColumn("row", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))), "pieces"
-    )
-    counted = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))  # at most capacity * SALTS rows
+    spark = docs.sparkSession
+    stored = materialize(pieces(docs, path, end, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     hist = np.zeros(capacity + 1, np.int64)
-    for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
+    for r in stored.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most capacity rows
         hist[r["length"]] = r["n"]
     table = slots(plan(hist, capacity), capacity)
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # a few ranges for each length, whatever the corpus
+    # At most four ranges for each pattern, and there are fewer than 20 patterns for each length.
+    shared = spark.sparkContext.broadcast(table)
+    group = max(GROUP_ROWS, -(-int(hist.sum()) // GROUPS))
+    salts = spark.createDataFrame([(n, -(-int(hist[n]) // group)) for n in np.flatnonzero(hist).tolist()], "length long, salts long")
+    rows = stored.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), "salts")).drop("salts")
+    counted = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))  # at most capacity + GROUPS rows
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("before"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1)

@@ -29,8 +29,8 @@ from graphloom.llm.vocab import tokenizer_path, word_ids
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 32 << 20, 1000, 0.01
-#: Texts of about this many bytes go into one file.
-FILE_TEXT_BYTES = 32 << 20
+#: Texts of about this many bytes go into one file, until there are so many files; they grow beyond.
+FILE_TEXT_BYTES, MAX_FILES = 32 << 20, 50_000
 
 
 def id_lists(ids: list[bytes], end: int) -> pa.Array:
@@ -57,7 +57,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end: int =
     small_batches(docs.sparkSession)
     if files is None:
         chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        files = max(1, -(-chars // FILE_TEXT_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
+        files = max(1, min(MAX_FILES, -(-chars // FILE_TEXT_BYTES)), docs.sparkSession.sparkContext.defaultParallelism)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(int(files), "doc_id", "tie")
     writer = encode_rows(rows.sortWithinPartitions("doc_id", "tie"), path or tokenizer_path(TOKENIZER), end).write
     options = {
