@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir`` (a temporary one only where unset)."""
+    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``. Where that is unset, a temporary folder in local
+    mode, an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
