@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import U64, column, encoded, gram_hashes, map_batches, materialize, mix64, schema_of, small_batches, word_hashes
 from graphloom.session import ship
 
-BLOCK, DIM, ROWS, RANK, STEP = 24, 1024, 160, 128, 256.0
-COSINE, LCS, LCS_WITH_ANSWER, ANSWER, ANSWER_LCS = 0.25, 0.7, 0.6, 8, 0.85
+BLOCK, DIM, ROWS, RANK, STEP = 24, 1024, 112, 96, 256.0
+COSINE, LCS, LCS_WITH_ANSWER, ANSWER, ANSWER_LCS = 0.28, 0.7, 0.6, 8, 0.85
 MIN_ITEM, ITEMS = 8, 1000
 #: Rows that a task's sums travel in, and groups of tasks that are added first.
 LINES, SALTS = 16, 256
