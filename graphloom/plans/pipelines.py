@@ -26,7 +26,7 @@ def find_wrappers(nodes: DataFrame, catalog: DataFrame, mode: str = "accurate",
     empty = F.lit("-")
     rows = found.join(order, "translation_unit").select(
         "ord", "function", "function_key", "api_called", F.size("resolved").alias("total_target_calls"), "hit_locs", F.col("trace").alias("derivation_trace"), "ignored_helpers",
-        "derived_from_params", "per_path_single", "pair_used", F.col("via_hop").alias("via_helper_hop"), F.col("api_called").isin(*(thin_aliases or ["\x00"])).alias("is_thin_alias"),
+        "derived_from_params", "per_path_single", "pair_used", F.col("via_hop").alias("via_helper_hop"), (F.col("api_called").isin(*thin_aliases) if thin_aliases else F.lit(False)).alias("is_thin_alias"),
         empty.alias("family"), "reason", F.lit("unknown").alias("category"), F.col("translation_unit").alias("file"),
         F.concat_ws(":", "translation_unit", F.col("line").cast("string")).alias("function_loc"), "arg_pass", "ret_pass",
     )
@@ -45,6 +45,7 @@ def find_wrappers(nodes: DataFrame, catalog: DataFrame, mode: str = "accurate",
 
 def score_rows(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Scored and ranked wrapper rows (function, api_called, callee, category, fan_in, fan_out, reason, arg_pass, ret_pass, location)."""
+    threshold = merge.fan_in_threshold(rows).first()["threshold"]  # one row, of the input: scores do not change fan_in
     rows = rows.withColumn("_id", F.monotonically_increasing_id())
     best = fuzzy.top_matches(fuzzy.fuzzy_scores(rows, fuzzy.canon_table(catalog)), 1).select("function", F.col("key").alias("fuzzy_key"), "combined")
     rows = rows.join(best, "function", "left").na.fill("", ["fuzzy_key"]).na.fill(0.0, ["combined"])
@@ -58,7 +59,6 @@ def score_rows(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = rows.withColumn("score", wrapper_score(*args))
     shown = has_catalog_api(F.col("api_called"), F.col("category")) | strong_without_api(F.col("function"), F.col("fuzzy_key"), F.col("combined"), F.col("combined"))
     rows = rows.withColumn("fuzzy_match", F.when(shown, F.col("fuzzy_key")).otherwise("NO_MATCH")).withColumn("likelihood_score", X.likelihood(F.col("score")))
-    threshold = merge.fan_in_threshold(rows).first()["threshold"]  # one row
     return merge.tiered(rows, threshold)
 
 

@@ -180,28 +180,27 @@ def top_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- reachability ----------------------------------------------------------------------------
 
-_CALLS = prelude("defs", "edges", "catalog") + _NAMES + f""", dd AS (SELECT * FROM edges WHERE quantity = 1), calls AS (
+_CALLS = prelude("defs", "edges", "catalog") + _NAMES + f""", dd AS (SELECT * FROM edges), calls AS (
   SELECT DISTINCT {_resolved('caller')} AS a, {_resolved('callee')} AS b FROM dd WHERE {_resolved('caller')} IS NOT NULL AND {_resolved('callee')} IS NOT NULL)"""
 _REACH = _CALLS + ", reach AS (SELECT a, b FROM calls UNION SELECT reach.a, calls.b FROM reach JOIN calls ON calls.a = reach.b)"
 
 
-def _sparse_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = view(spark, sf_dir, "edges").filter("quantity = 1").drop("quantity")
-    defs = view(spark, sf_dir, "defs")
+def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    edges, defs = view(spark, sf_dir, "edges").drop("quantity"), view(spark, sf_dir, "defs")
     return edges, defs, closure.resolved_calls(edges, defs)
 
 
 @query(_REACH + " SELECT a AS caller, b AS callee FROM reach")
 def reach_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return closure.reachable(_sparse_calls(spark, sf_dir)[2]).select("caller", "callee")
+    return closure.reachable(_calls(spark, sf_dir)[2]).select("caller", "callee")
 
 
-@query(_REACH + """, t AS (SELECT function_key, api FROM defs JOIN catalog ON n = part % 60 WHERE part % 60 < 30), hit AS (
+@query(_REACH + """, t AS (SELECT function_key, api FROM defs JOIN catalog ON n = part % 30), hit AS (
   SELECT function_key, api FROM t UNION SELECT reach.a, t.api FROM reach JOIN t ON t.function_key = reach.b)
 SELECT function_key, string_agg(DISTINCT api, ' - ' ORDER BY api) AS apis FROM hit GROUP BY 1""")
 def reach_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, defs, calls = _sparse_calls(spark, sf_dir)
-    own = defs.filter("part % 60 < 30").join(view(spark, sf_dir, "catalog"), F.col("n") == F.col("part") % 60)
+    _, defs, calls = _calls(spark, sf_dir)
+    own = defs.join(view(spark, sf_dir, "catalog"), F.col("n") == F.col("part") % 30)
     found = closure.reached_targets(calls, own.select("function_key", "api", F.struct(F.lit(0).alias("o")).alias("ord")))
     return found.select("function_key", F.array_join(F.array_sort("apis"), " - ").alias("apis"))
 
@@ -210,7 +209,7 @@ def reach_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a, callee FROM direct UNION SELECT reach.a, d.callee FROM reach JOIN direct d ON d.a = reach.b)
 SELECT a AS function_key, string_agg(DISTINCT callee, ' - ' ORDER BY callee) AS names FROM hit GROUP BY 1""")
 def reach_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, defs, _ = _sparse_calls(spark, sf_dir)
+    edges, defs, _ = _calls(spark, sf_dir)
     found = closure.reached_names(edges, defs)
     return found.select("function_key", F.array_join(F.array_sort("names"), " - ").alias("names"))
 
@@ -218,42 +217,7 @@ def reach_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CALLS + """, two AS (SELECT a, b, 1 AS h FROM calls UNION ALL SELECT x.a, y.b, 2 FROM calls x JOIN calls y ON y.a = x.b)
 SELECT a AS caller, b AS callee, min(h) AS hops FROM two GROUP BY 1, 2""")
 def bounded_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return closure.within_hops(_sparse_calls(spark, sf_dir)[2], 2)
-
-
-def _all_edges(name: str) -> str:
-    """The oracle of a query on sparse calls, over all edges."""
-    return ORACLES[name].replace("SELECT * FROM edges WHERE quantity = 1", "SELECT * FROM edges")
-
-
-def _all_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges, defs = view(spark, sf_dir, "edges").drop("quantity"), view(spark, sf_dir, "defs")
-    return edges, defs, closure.resolved_calls(edges, defs)
-
-
-@query(_all_edges("reach_pairs"))
-def reach_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return closure.reachable(_all_calls(spark, sf_dir)[2]).select("caller", "callee")
-
-
-@query(_all_edges("reach_targets"))
-def reach_targets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, defs, calls = _all_calls(spark, sf_dir)
-    own = defs.filter("part % 60 < 30").join(view(spark, sf_dir, "catalog"), F.col("n") == F.col("part") % 60)
-    found = closure.reached_targets(calls, own.select("function_key", "api", F.struct(F.lit(0).alias("o")).alias("ord")))
-    return found.select("function_key", F.array_join(F.array_sort("apis"), " - ").alias("apis"))
-
-
-@query(_all_edges("reach_names"))
-def reach_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, defs, _ = _all_calls(spark, sf_dir)
-    found = closure.reached_names(edges, defs)
-    return found.select("function_key", F.array_join(F.array_sort("names"), " - ").alias("names"))
-
-
-@query(_all_edges("bounded_hops"))
-def bounded_hops_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return closure.within_hops(_all_calls(spark, sf_dir)[2], 2)
+    return closure.within_hops(_calls(spark, sf_dir)[2], 2)
 
 
 # ---- names and scores ------------------------------------------------------------------------

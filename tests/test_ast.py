@@ -168,3 +168,27 @@ def test_wrappers_end_to_end(spark, tmp_path):
     assert cli.main(["finder", *common, "--edge-evidence", "my_open", "--out", str(tmp_path / "e.jsonl"), "--output", "jsonl"], spark) == 0
     assert len((tmp_path / "e.jsonl").read_text().splitlines()) >= 3
     assert cli.main(["finder", *common, "--edge-evidence", "missing"], spark) == 1
+
+
+def test_deep_bodies(spark):
+    """No recursion: a call under 5,000 nested blocks and parentheses."""
+    f = Fn("deep", parm("p"))
+    ids, n = itertools.count(len(f.rows)), len(f.rows)
+    base = dict.fromkeys(AST_NODES.names) | {"translation_unit": "u.c", "function_key": f.key, "line": 1, "col": 1}
+
+    def add(parent, pos, kind, **kw):
+        i = next(ids)
+        f.rows.append(tuple((base | {"node_id": i, "parent_id": parent, "child_pos": pos, "pre": i, "kind": kind} | kw)[c] for c in AST_NODES.names))
+        return i
+
+    at = 0
+    for k in range(5000):
+        at = add(at, 1 if not k else 0, "COMPOUND_STMT")
+    at = add(at, 0, "CALL_EXPR", callee="open", callee_key="c:@F@open")
+    add(at, 0, "UNEXPOSED_EXPR")
+    for k in range(5000):
+        at = add(at, 0 if k else 1, "PAREN_EXPR")
+    add(at, 0, "DECL_REF_EXPR", var_key="p", ref_kind="PARM_DECL")
+    _, rows = summary(spark, f)
+    r = rows.first()
+    assert (r["mask"], r["arg_pass"], r["derived"], r["apis"]) == (paths.ONE, "yes - all", True, ["open"])
