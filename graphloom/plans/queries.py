@@ -391,7 +391,7 @@ def wrapper_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN score >= 0.5 AND fan_in >= {_QUANTILE} THEN 0 WHEN score >= 0.5 THEN 1 WHEN fan_in >= {_QUANTILE} THEN 2 ELSE 3 END AS tier FROM scored""")
 def tier_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
-    threshold = merge.fan_in_threshold(rows).first()["threshold"]  # one row
+    threshold = merge.fan_in_threshold(view(spark, sf_dir, "named")).first()["threshold"]  # one row, of the input
     return merge.tiered(rows, threshold).select("part", X.likelihood(F.round("score", 9)).alias("likelihood_score"), "tier")
 
 

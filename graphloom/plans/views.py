@@ -62,9 +62,45 @@ FROM part JOIN catalog c ON c.n = p_partkey % 30 JOIN catalog d ON d.n = (p_part
 #: Flat function bodies: a statement for each line of an order. A: a call, N: a call under a condition, R: none.
 BODIES = "SELECT l_orderkey AS func, l_linenumber AS pos, CASE l_returnflag WHEN 'A' THEN 'CALL' WHEN 'N' THEN 'IF' ELSE 'OTHER' END AS kind, l_partkey AS part FROM lineitem"
 
-VIEWS = {"catalog": CATALOG, "all_defs": DEFS, "defs": "SELECT * FROM all_defs WHERE part % 10 < 7", "edges": EDGES, "diagnostics": DIAGNOSTICS, "named": NAMED, "bodies": BODIES}
-_NEEDS = {"defs": ("all_defs",), "edges": ("all_defs",), "named": ("catalog",)}
-_TABLES = {"all_defs": ("part",), "defs": ("part",), "edges": ("part", "lineitem"), "diagnostics": ("events",), "named": ("part",), "catalog": (), "bodies": ("lineitem",)}
+#: The lines of an order are the statements of a function: k is the statement's form, j what it calls (under 30: an API, under
+#: 40: a logging helper, 44: syscall, else the function three orders before, in the same unit).
+STATEMENTS = """
+SELECT f, r, part, (part + r) % 6 AS k, part % 45 AS j FROM (
+  SELECT l_orderkey AS f, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r
+  FROM lineitem) x
+"""
+_CALLED = "CASE k WHEN 0 THEN 10 * r WHEN 1 THEN 10 * r + 2 WHEN 2 THEN 10 * r + 1 ELSE 10 * r + 3 END"
+_NODE = "concat('u', f % 3, '.c') AS translation_unit, concat('c:@F@f', f) AS function_key"
+#: Each form's nodes in preorder: a call; an if with a call; a return of a call; a loop around a call; a declaration; a guard.
+AST = f"""
+SELECT translation_unit, function_key, cast(node_id AS int) AS node_id, cast(parent_id AS int) AS parent_id, cast(child_pos AS int) AS child_pos, cast(node_id AS int) AS pre,
+       cast(NULL AS int) AS depth, kind, spelling, ref_kind, var_key, callee, callee_key, cast(f % 1000 AS int) AS line, cast(node_id AS int) AS col, tokens
+FROM (
+SELECT DISTINCT f, {_NODE}, 0 AS node_id, NULL AS parent_id, 0 AS child_pos, 'FUNCTION_DECL' AS kind, concat('f', f) AS spelling, NULL AS ref_kind, NULL AS var_key, NULL AS callee,
+       NULL AS callee_key, CASE WHEN f % 5 = 0 THEN 'void' ELSE 'int' END AS tokens FROM statements
+UNION ALL SELECT DISTINCT f, {_NODE}, 1, 0, 0, 'PARM_DECL', 'p', NULL, 'p', NULL, NULL, NULL FROM statements
+UNION ALL SELECT DISTINCT f, {_NODE}, 2, 0, 1, 'PARM_DECL', 'q', NULL, 'q', NULL, NULL, NULL FROM statements WHERE f % 2 = 0
+UNION ALL SELECT DISTINCT f, {_NODE}, 3, 0, 2, 'COMPOUND_STMT', '', NULL, NULL, NULL, NULL, NULL FROM statements
+UNION ALL SELECT f, {_NODE}, 10 * r, 3, r, CASE k WHEN 1 THEN 'IF_STMT' WHEN 2 THEN 'RETURN_STMT' WHEN 3 THEN 'WHILE_STMT' WHEN 4 THEN 'DECL_STMT' ELSE 'IF_STMT' END,
+       '', NULL, NULL, NULL, NULL, NULL FROM statements WHERE k <> 0
+UNION ALL SELECT f, {_NODE}, 10 * r + 1, 10 * r, 0, 'DECL_REF_EXPR', 'p', 'PARM_DECL', 'p', NULL, NULL, NULL FROM statements WHERE k IN (1, 3, 5)
+UNION ALL SELECT f, {_NODE}, 10 * r + 2, 10 * r, 1, 'COMPOUND_STMT', '', NULL, NULL, NULL, NULL, NULL FROM statements WHERE k IN (3, 5)
+UNION ALL SELECT f, {_NODE}, 10 * r + 3, 10 * r + 2, 0, 'RETURN_STMT', '', NULL, NULL, NULL, NULL, NULL FROM statements WHERE k = 5
+UNION ALL SELECT f, {_NODE}, 10 * r + 1, 10 * r, 0, 'VAR_DECL', 'v', NULL, 'v', NULL, NULL, NULL FROM statements WHERE k = 4
+UNION ALL SELECT f, {_NODE}, 10 * r + 2, 10 * r + 1, 0, 'DECL_REF_EXPR', 'p', 'PARM_DECL', 'p', NULL, NULL, NULL FROM statements WHERE k = 4
+UNION ALL SELECT s.f, {_NODE}, {_CALLED}, CASE k WHEN 0 THEN 3 WHEN 3 THEN 10 * r + 2 ELSE 10 * r END, CASE k WHEN 0 THEN r WHEN 1 THEN 1 ELSE 0 END, 'CALL_EXPR', '', NULL, NULL,
+       CASE WHEN j < 30 THEN c.api WHEN j < 40 THEN 'log_it' WHEN j = 44 THEN 'syscall' ELSE concat('f', f - 3) END,
+       CASE WHEN j < 30 THEN concat('c:@F@', c.api) WHEN j < 40 THEN 'c:@F@log_it' WHEN j = 44 THEN 'c:@F@syscall' ELSE concat('c:@F@f', f - 3) END, NULL
+       FROM statements s LEFT JOIN catalog c ON c.n = s.j WHERE k < 4
+UNION ALL SELECT f, {_NODE}, {_CALLED} + 1, {_CALLED}, 0, 'UNEXPOSED_EXPR', '', NULL, NULL, NULL, NULL, NULL FROM statements WHERE k < 4
+UNION ALL SELECT f, {_NODE}, {_CALLED} + 2, {_CALLED}, 1, CASE WHEN j = 44 THEN 'UNEXPOSED_EXPR' WHEN part % 2 = 0 THEN 'DECL_REF_EXPR' ELSE 'INTEGER_LITERAL' END, '',
+       CASE WHEN j <> 44 AND part % 2 = 0 THEN 'PARM_DECL' END, CASE WHEN j <> 44 AND part % 2 = 0 THEN 'p' END, NULL, NULL, CASE WHEN j = 44 THEN 'SYS_open' END FROM statements WHERE k < 4
+) n
+"""
+
+VIEWS = {"catalog": CATALOG, "all_defs": DEFS, "defs": "SELECT * FROM all_defs WHERE part % 10 < 7", "edges": EDGES, "diagnostics": DIAGNOSTICS, "named": NAMED, "bodies": BODIES, "statements": STATEMENTS, "ast": AST}
+_NEEDS = {"defs": ("all_defs",), "edges": ("all_defs",), "named": ("catalog",), "ast": ("catalog", "statements")}
+_TABLES = {"all_defs": ("part",), "defs": ("part",), "edges": ("part", "lineitem"), "diagnostics": ("events",), "named": ("part",), "catalog": (), "bodies": ("lineitem",), "statements": ("lineitem",), "ast": ()}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

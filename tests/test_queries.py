@@ -3,6 +3,7 @@ import os
 import duckdb
 import pytest
 
+from graphloom.plans import tree_queries  # noqa: F401
 from graphloom.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
