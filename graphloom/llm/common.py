@@ -160,7 +160,7 @@ def _hash_piece(arr: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix64(sums + sizes.astype(U64) * _STEP), starts
 
 
-def word_hashes(texts: list[bytes], lower: bool = False, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = False, piece: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, one after another, and for each text the
     index of its first word (one more entry than texts). Works through pieces of about ``piece`` bytes, cut
     between texts or, in a longer text, at white space; ``lower`` folds A-Z."""

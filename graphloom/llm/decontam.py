@@ -8,7 +8,7 @@ singular value decomposition of this matrix A of all passages, in two passes ove
 1. Range: every passage is added with a random sign to one of ``ROWS`` columns, which is A' times a sparse random matrix. The
    document frequencies come from the same pass (they scale A's columns, so they can be applied to the sum). Q is an
    orthonormal basis of the result, rounded to 1 / ``STEP`` (any basis of the range will do).
-2. Projection: every passage is projected on Q. The sums Z = A' A Q and T = Q' A' A Q over all passages give A' A as
+2. Projection: every passage is projected on Q. The sum Z = A' A Q over all passages, with T = Q' Z, gives A' A as
    Z T^-1 Z' (which counts as a power iteration), and from it the singular vectors and values.
 
 All sums are of integers, so neither file layout nor retried tasks change them; tasks' sums are added in two steps. The ``RANK`` first singular vectors are scaled by the inverse singular values, so that what all
@@ -46,8 +46,8 @@ COSINE, LCS, LCS_WITH_ANSWER, ANSWER, ANSWER_LCS = 0.28, 0.7, 0.6, 8, 0.85
 MIN_ITEM, ITEMS = 8, 1000
 #: Rows that a task's sums travel in, and groups of tasks that are added first.
 LINES, SALTS = 16, 256
-#: Passages that are projected at once.
-PASSAGES = 2048
+#: Passages that are projected at once, and words around candidates that are compared at once.
+PASSAGES, WINDOW_WORDS = 2048, 500_000
 
 _PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -122,19 +122,17 @@ def range_sums(words: np.ndarray, first: np.ndarray, ids: np.ndarray) -> np.ndar
 
 
 def projection_sums(words: np.ndarray, first: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Of a batch of texts: the passages' unweighted entries times their projections (DIM x ROWS), and the projections'
-    products (ROWS x ROWS), one after another. ``basis`` is weighted, in whole steps."""
+    """Of a batch of texts: the passages' unweighted entries times their projections (DIM x ROWS). ``basis`` is weighted, in
+    whole steps."""
     block, text_no, _ = blocks_of(first)
-    z, t = np.zeros((DIM, ROWS)), np.zeros((ROWS, ROWS))
+    z = np.zeros((DIM, ROWS))
     for _, _, passages, joins, matrix in projected(words, block, text_no, basis):
-        wide = passages.astype(float)
-        t += wide.T @ wide
         weight = np.zeros((len(matrix), ROWS))
-        weight[: len(passages)] = wide
-        weight[joins + 1] += wide[joins]
+        weight[: len(passages)] = passages
+        weight[joins + 1] += passages[joins]
         kind = np.float32 if np.abs(weight).sum(axis=0).max() < 1 << 24 else float  # sums stay exact
-        z += matrix.astype(kind).T @ weight.astype(kind)
-    return np.concatenate([z.ravel(), t.ravel()])
+        z += matrix.astype(kind, copy=False).T @ weight.astype(kind, copy=False)
+    return z.ravel()
 
 
 def _summed(docs: DataFrame, size: int, batch_sums: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -179,10 +177,11 @@ def basis_of(sums: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.rint(np.linalg.qr(sums.reshape(DIM, ROWS) * idf[:, None])[0] * idf[:, None] * STEP).astype(np.float32)
 
 
-def decomposed(z: np.ndarray, t: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The RANK first right singular vectors of A (DIM x RANK) and its singular values, from A' A Q (before weighting) and
-    Q' A' A Q, both in steps."""
-    z, t = z.reshape(DIM, ROWS) * idf[:, None] / STEP, t.reshape(ROWS, ROWS) / STEP**2
+def decomposed(z: np.ndarray, basis: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The RANK first right singular vectors of A (DIM x RANK) and its singular values, from A' A Q before weighting, in steps,
+    and the weighted basis."""
+    z = z.reshape(DIM, ROWS)
+    z, t = z * idf[:, None] / STEP, basis.astype(float).T @ z / STEP**2
     values, vectors = np.linalg.eigh((t + t.T) / 2)
     held = values > 1e-9 * max(values[-1], 1e-300)
     root = vectors[:, held] / np.sqrt(values[held])
@@ -197,9 +196,10 @@ def latent_space(docs: DataFrame) -> np.ndarray:
     if not n:
         return np.zeros((DIM, RANK), np.float32)
     idf = weights_of(found[-1 - DIM : -1], n)
-    shared = docs.sparkSession.sparkContext.broadcast(basis_of(found[: DIM * ROWS], idf))  # DIM x ROWS
-    found = _summed(docs, DIM * ROWS + ROWS * ROWS, lambda words, first, _: projection_sums(words, first, shared.value))
-    return scaled(*decomposed(found[: DIM * ROWS], found[DIM * ROWS :], idf), idf)
+    basis = basis_of(found[: DIM * ROWS], idf)
+    shared = docs.sparkSession.sparkContext.broadcast(basis)  # DIM x ROWS
+    z = _summed(docs, DIM * ROWS, lambda words, first, _: projection_sums(words, first, shared.value))
+    return scaled(*decomposed(z, basis, idf), idf)
 
 
 def scaled(vectors: np.ndarray, values: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -234,6 +234,21 @@ class Items:
     has: np.ndarray  # items x (vocabulary and one column for other words): whether the item has the word
     runs: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> sorted hashes of the items' runs of so many words, the item of each
 
+    def __post_init__(self) -> None:
+        bits = (16 * len(self.vocabulary)).bit_length()
+        self.shift = U64(64 - max(1, bits))
+        slots = self.vocabulary >> self.shift
+        self.starts = np.searchsorted(slots, np.arange(1 << max(1, bits), dtype=U64)).astype(np.int32)  # the first word by its first bits
+        self.deepest = int(np.unique(slots, return_counts=True)[1].max(initial=0))
+        self.padded = np.append(self.vocabulary, ~U64(0))
+
+    def known(self, words: np.ndarray) -> np.ndarray:
+        """The number of each word in the vocabulary, or its length."""
+        at = self.starts[words >> self.shift]
+        for _ in range(self.deepest):
+            at = at + (self.padded[at] < words)
+        return np.where(self.padded[at] == words, at, len(self.vocabulary))
+
     @classmethod
     def build(cls, rows: list, space: np.ndarray) -> Items:
         words, first = plain_words([r["text"] for r in rows])
@@ -280,6 +295,26 @@ class Items:
         n = hi - lo
         return np.repeat(at, n), items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
+    def overlaps(self, own: np.ndarray, known: np.ndarray, item: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Of candidates (an item and words w0 to w1 of ``own`` each): the number of each that may pass, and the words there that the
+        item has. They, and the places in the item of the different ones, are no fewer than the common subsequence has."""
+        ends = np.cumsum(w1 - w0)
+        a = 0
+        while a < len(item):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WINDOW_WORDS, side="right")))
+            long = w1[a:b] - w0[a:b]
+            cand = np.repeat(np.arange(b - a), long)
+            at = np.arange(len(cand)) + np.repeat(w0[a:b] - np.cumsum(long) + long, long)
+            hit = np.flatnonzero(self.has[item[a:b][cand], known[at]])
+            cand, at = cand[hit], at[hit]
+            bounds = np.searchsorted(cand, np.arange(b - a + 1))
+            for c in np.flatnonzero(np.diff(bounds) >= LCS_WITH_ANSWER * np.array(self.sizes)[item[a:b]]).tolist():
+                j = int(item[a + c])
+                around, masks = own[at[bounds[c] : bounds[c + 1]]].tolist(), self.masks[j]
+                if sum(masks[w].bit_count() for w in set(around)) >= LCS_WITH_ANSWER * self.sizes[j]:
+                    yield a + c, around
+            a = b
+
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, float, float, float]]:
         """(text number, item number, first word of the passage, cosine, LCS share, answer share) of the leaks, the best
         passage for each text and item."""
@@ -290,8 +325,7 @@ class Items:
         for a, b in _chunks(first):
             own, start = words[first[a] : first[b]], first[a : b + 1] - first[a]
             block, text_no, place = blocks_of(start)
-            known = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
-            known = np.where(self.vocabulary[known] == own, known, len(self.vocabulary))
+            known = self.known(own)
             for n_words in self.runs:
                 if n_words < MIN_ITEM:  # the whole item
                     run_at, run_item = self.copied(n_words, own, start, known)
@@ -300,21 +334,18 @@ class Items:
                         t = int(run_text[i])
                         best[a + t, int(run_item[i])] = 1.0, 1.0, 1.0, int(start[t] - run_at[i])
             run_at, run_item = self.copied(MIN_ITEM, own, start, known)
-            run_block = block[run_at]
+            run_block, lengths = block[run_at], np.array(self.sizes, np.int64)
             for lo, hi, passages, *_ in projected(own, block, text_no, self.space):
                 cos = (passages / np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-12)) @ self.vectors.T
                 near = cos >= COSINE
                 here = (run_block >= lo) & (run_block < hi)
                 near[run_block[here] - lo, run_item[here]] = True
-                for i, j in zip(*np.nonzero(near), strict=True):
-                    t = int(text_no[lo + i])
-                    at = int(place[lo + i]) * BLOCK
+                passage, item = np.nonzero(near)
+                t, at, size = text_no[lo + passage], place[lo + passage] * BLOCK, lengths[item]
+                w0, w1 = start[t] + np.maximum(0, at - size), np.minimum(start[t + 1], start[t] + at + 2 * BLOCK + size)
+                for c, around in self.overlaps(own, known, item, w0, w1):
+                    i, j, t, at = int(passage[c]), int(item[c]), int(text_no[lo + passage[c]]), int(place[lo + passage[c]]) * BLOCK
                     size = self.sizes[j]
-                    w0, w1 = int(start[t]) + max(0, at - size), min(int(start[t + 1]), int(start[t]) + at + 2 * BLOCK + size)
-                    hit = self.has[j, known[w0:w1]]  # words of the item: no fewer than the common subsequence has
-                    if np.count_nonzero(hit) < LCS_WITH_ANSWER * size:
-                        continue
-                    around = own[w0:w1][hit].tolist()
                     share = lcs_length(self.masks[j], size, around) / size
                     if share < LCS_WITH_ANSWER:
                         continue

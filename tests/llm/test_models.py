@@ -161,14 +161,23 @@ def test_common_subsequence_against_table():
         assert decontam.lcs_length(decontam._masks(a), len(a), b) == t[-1][-1]
 
 
+def test_known_words_by_their_first_bits():
+    rng = np.random.default_rng(9)
+    space = np.zeros((decontam.DIM, decontam.RANK), np.float32)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 400, 40)) for _ in range(20)] + ["one two"]
+    items = decontam.Items.build([{"item_id": i, "text": t} for i, t in enumerate(texts)], space)
+    words = decontam.plain_words([*texts, " ".join(f"w{i}" for i in range(2000))])[0]
+    place = {w: i for i, w in enumerate(items.vocabulary.tolist())}
+    assert items.known(words).tolist() == [place.get(w, len(place)) for w in words.tolist()]
+
+
 def space_of(texts):
     h, first = decontam.plain_words(texts)
     found = decontam.range_sums(h, first, np.arange(len(texts)))
     size = decontam.DIM * decontam.ROWS
     idf = decontam.weights_of(found[size:-1], found[-1])
     basis = decontam.basis_of(found[:size], idf)
-    found = decontam.projection_sums(h, first, basis)
-    return decontam.scaled(*decontam.decomposed(found[:size], found[size:], idf), idf)
+    return decontam.scaled(*decontam.decomposed(decontam.projection_sums(h, first, basis), basis, idf), idf)
 
 
 def plain_matrix(texts):
