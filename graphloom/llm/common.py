@@ -21,6 +21,8 @@ from graphloom.session import ship
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: A side is broadcast only if its counted rows, times the bytes a row takes there, stay below this.
 BROADCAST_BYTES = 48 << 20
+#: A key is hot from this many rows on, or from so many that no more than HOT_KEYS keys can be (about 64 bytes each, broadcast).
+HOT_ROWS, HOT_KEYS = 10_000, 500_000
 
 U64 = np.uint64
 
@@ -97,6 +99,18 @@ def hinted(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the row of ``groups`` of their ``key``. ``groups`` (materialised) has one short row a key, and in ``n`` how many
+    of ``rows`` the key has. Rows of hot keys are not shuffled: what ``groups`` says of those, at most HOT_KEYS rows, is broadcast."""
+    total = groups.agg(F.sum(n).alias("n")).first()["n"] or 0
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = groups.filter(F.col(n) >= least)
+    if hot.isEmpty():
+        return rows.join(groups, key, how)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(n) < least), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``fn`` over each Arrow batch; no rows are held between batches."""
     ship(df.sparkSession)

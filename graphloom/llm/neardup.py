@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import (
-    U64, column, encoded, gram_hashes, hinted, map_batches, materialize, mix64, semi_by_id, small_batches, word_hashes,
+    U64, column, encoded, gram_hashes, hinted, join_groups, map_batches, materialize, mix64, semi_by_id, small_batches, word_hashes,
 )
 from graphloom.llm.graph import components
 
 CHUNKS, SLOTS, ERRORS = 10, 6, 1
+#: Pairs that one copy of a text is compared in.
+PAIRS_A_COPY = 256
 _rng = np.random.default_rng(7)
 _MULTIPLIERS = _rng.integers(1, 2**63, CHUNKS * SLOTS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _SLOT_SALT = _rng.integers(1, 2**63, CHUNKS * SLOTS, dtype=np.int64).astype(U64)
@@ -101,12 +103,16 @@ def index_keys(nodes: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """Of ``pairs`` (a, b; materialised, distinct) those whose full sets are similar enough. Only texts of documents
-    in pairs are moved."""
+    in pairs are moved; the text of a ``b`` in many pairs goes to as many places as these fill, once to each."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
     texts = semi_by_id(docs.select("doc_id", "text"), ids, ["doc_id"])
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a")
+    shared = materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "pair-counts")
+    salts = F.ceil(F.col("n") / PAIRS_A_COPY)
+    copies = right.join(shared, "b").select("b", "text_b", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    dealt = join_groups(pairs, shared, "b", "n").select("a", "b", F.pmod(F.xxhash64("a"), salts).alias("salt"))
+    both = dealt.join(left, "a").join(copies, ["b", "salt"])
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts_a, texts_b = column(batch, "text_a").to_pylist(), column(batch, "text_b").to_pylist()
@@ -139,7 +145,9 @@ def _rare_pairs(rows: DataFrame, docs: DataFrame, shingle: int, threshold: int)
 
     # A node whose doc_id has several texts: the union of its shingles, with the smallest size, keeps the rule safe.
     each = map_batches(texts, explode, "shingle long, node long, size long").groupBy("shingle", "node").agg(F.min("size").alias("size"))
-    counted = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
+    each = materialize(each, "open-shingles")
+    frequent = materialize(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "open-counts")
+    counted = join_groups(each, frequent, "shingle", "df", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     # At least this many common shingles with a set of size n; with any set at all: as for one of the size threshold % of it.
     enough = lambda x, y: F.ceil(threshold * (x + y) / F.lit(100.0 + threshold) - F.lit(1e-9))
     need = F.ceil(F.col("size") * threshold / F.lit(100.0) - F.lit(1e-9))
@@ -165,12 +173,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> D
 
     # Buckets of two nodes or more. A node first meets the hub of its buckets: the node that meets most others, which in a
     # group of copies is the one that they were made from, or close to it.
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    buckets = materialize(index_keys(nodes).withColumn("n", size).filter("n > 1"), "buckets")
+    keys = materialize(index_keys(nodes), "keys")
+    sizes = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    buckets = materialize(join_groups(keys, sizes, "key", "n"), "buckets")
     degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = buckets.join(degree, "node").select("key", "node", F.struct("degree", (-F.col("node")).alias("back")).alias("rank"))
-    hubs = materialize(ranked.groupBy("key").agg(F.max("rank").alias("hub")), "hubs")
-    met = buckets.join(hubs, "key").filter(F.col("node") != -F.col("hub.back"))
+    hubs = materialize(ranked.groupBy("key").agg(F.max("rank").alias("hub"), F.count(F.lit(1)).alias("n")), "hubs")
+    met = join_groups(buckets.drop("n"), hubs, "key", "n").filter(F.col("node") != -F.col("hub.back"))
     nearest = met.groupBy(F.col("node").alias("a")).agg(F.max("hub").alias("hub")).select("a", (-F.col("hub.back")).alias("b"))
     links = materialize(confirm(materialize(nearest, "nearest"), docs, shingle, threshold), "confirmed")
     # Rows with one doc_id and different sets are one node.
@@ -180,11 +189,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> D
     roots = components(links)
 
     # Pairs that share a bucket but not a component.
-    named = buckets.select("key", "node").distinct().join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    named = buckets.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    named = materialize(named.distinct(), "named")
     parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top")).filter("comps > 1")
-    mixed = materialize(mixed.select("key", F.col("top.comp").alias("largest")), "mixed")
-    open_rows = named.join(hinted(mixed, 32), "key").groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("largest")).alias("seeks"))
+    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+    mixed = materialize(mixed.filter("comps > 1").select("key", "n", F.col("top.comp").alias("largest")), "mixed")
+    open_rows = join_groups(named, mixed, "key", "n").groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("largest")).alias("seeks"))
     open_rows = materialize(open_rows, "open")
     if not open_rows.isEmpty():
         pairs = materialize(_rare_pairs(open_rows, docs, shingle, threshold), "rare-pairs")

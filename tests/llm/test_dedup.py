@@ -73,6 +73,30 @@ def test_components_against_brute_force(spark, docs_of, words, seed, size):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows, size, 80)})
 
 
+@pytest.mark.parametrize("hot_keys", [500_000, 3])
+def test_hot_keys_and_texts_in_many_pairs(spark, docs_of, words, monkeypatch, hot_keys):
+    """Few rows make a key hot and few pairs fill a place, so every split is taken; the number of hot keys stays bounded."""
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+    monkeypatch.setattr(neardup, "PAIRS_A_COPY", 3)
+    rows = corpus(words, 3)
+    df = docs_of([t for _, t in rows], [i for i, _ in rows])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 4, 80).collect())
+    assert got == sorted(brute_components(rows, 4, 80))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot_rows", [1, 5, 10**6])
+def test_groups_reach_every_row(spark, monkeypatch, how, hot_rows):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    rows = [(k, i) for k in range(8) for i in range(k * k)] + [(None, 1)]
+    groups = [(k, k * k) for k in range(1, 8) if k != 3]
+    left, right = spark.createDataFrame(rows, "key long, i long"), spark.createDataFrame(groups, "key long, n long")
+    got = sorted(((r["key"], r["i"], r["n"]) for r in common.join_groups(left, right, "key", "n", how).collect()), key=str)
+    known = dict(groups)
+    assert got == sorted(((k, i, known.get(k)) for k, i in rows if how == "left" or k in known), key=str)
+
+
 def test_repeated_ids_null_ids_and_empty_tables(spark, docs_of, words):
     a, b = words(60, 1), words(60, 2)
     rows = [(3, a), (5, b), (5, a), (5, a), (None, a), (7, b), (9, None)]
