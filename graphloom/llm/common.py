@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from graphloom.session import ship
 
 #: Rows and bytes a batch handed to Python holds at most (one longer row makes a batch of its own).
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: A side is broadcast only if its counted rows, times the bytes a row takes there, stay below this.
 BROADCAST_BYTES = 48 << 20
 #: A key is hot from this many rows on, or from so many that no more than HOT_KEYS keys can be (about 64 bytes each, broadcast).
@@ -85,6 +85,7 @@ def small_batches(spark: SparkSession) -> None:
     the session has one setting and plans are lazy."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))  # rows that a scan holds decoded
 
 
 def semi_by_id(rows: DataFrame, ids: DataFrame, on: list[str], row_bytes: int = 64) -> DataFrame:
