@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, decontam, langid, neardup, packing, quality, suffix, tokenbin, tokencount, urlfilter
+from graphloom.llm import chat, decontam, divergence, ftrl, langid, neardup, packing, periodic, quality, suffix, tokenbin, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.collapse_runs(_table(spark, sf_dir, "documents"), periodic.planted))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl.score_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -66,8 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sparse_suffix": op8_sparse_suffix,
         "op9_url_filter": op9_url_filter,
         "op10_pattern_packing": op10_pattern_packing,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_ftrl_quality": op13_ftrl_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.ORACLE_SQL, "op9_url_filter": urlfilter.ORACLE_SQL}
+    return {"op1_chat_format": chat.ORACLE_SQL, "op9_url_filter": urlfilter.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
