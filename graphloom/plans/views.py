@@ -98,9 +98,61 @@ UNION ALL SELECT f, {_NODE}, {_CALLED} + 2, {_CALLED}, 1, CASE WHEN j = 44 THEN
 ) n
 """
 
-VIEWS = {"catalog": CATALOG, "all_defs": DEFS, "defs": "SELECT * FROM all_defs WHERE part % 10 < 7", "edges": EDGES, "diagnostics": DIAGNOSTICS, "named": NAMED, "bodies": BODIES, "statements": STATEMENTS, "ast": AST}
-_NEEDS = {"defs": ("all_defs",), "edges": ("all_defs",), "named": ("catalog",), "ast": ("catalog", "statements")}
-_TABLES = {"all_defs": ("part",), "defs": ("part",), "edges": ("part", "lineitem"), "diagnostics": ("events",), "named": ("part",), "catalog": (), "bodies": ("lineitem",), "statements": ("lineitem",), "ast": ()}
+# Statement forms as trees: form, offset of the node, offset of its parent (-1: the body), position, kind, variable, which call it is.
+_FORMS = {
+    "a switch over a call and nothing": ["-1 0 SWITCH_STMT", "0 0 DECL_REF_EXPR p", "0 1 CASE_STMT", "2 0 INTEGER_LITERAL", "2 1 CALL_EXPR - a", "4 0 UNEXPOSED_EXPR", "0 2 DEFAULT_STMT", "6 0 INTEGER_LITERAL", "6 1 DECL_REF_EXPR p"],
+    "a call, else two": ["-1 0 IF_STMT", "0 0 DECL_REF_EXPR p", "0 1 CALL_EXPR - a", "2 0 UNEXPOSED_EXPR", "0 2 COMPOUND_STMT", "4 0 CALL_EXPR - b", "5 0 UNEXPOSED_EXPR", "4 1 CALL_EXPR - b", "7 0 UNEXPOSED_EXPR"],
+    "a declaration by one call or another": ["-1 0 DECL_STMT", "0 0 VAR_DECL u", "1 0 CONDITIONAL_OPERATOR", "2 0 DECL_REF_EXPR p", "2 1 CALL_EXPR - a", "4 0 UNEXPOSED_EXPR", "4 1 INTEGER_LITERAL", "2 2 CALL_EXPR - b", "7 0 UNEXPOSED_EXPR"],
+    "a loop of two calls": ["-1 0 DO_STMT", "0 0 COMPOUND_STMT", "1 0 CALL_EXPR - a", "2 0 UNEXPOSED_EXPR", "1 1 CALL_EXPR - b", "4 0 UNEXPOSED_EXPR", "0 1 DECL_REF_EXPR p"],
+    "a loop of one call": ["-1 0 FOR_STMT", "0 0 DECL_REF_EXPR p", "0 1 COMPOUND_STMT", "2 0 CALL_EXPR - a", "3 0 UNEXPOSED_EXPR"],
+    "a return of a call of a call": ["-1 0 RETURN_STMT", "0 0 UNEXPOSED_EXPR", "1 0 CALL_EXPR - a", "2 0 UNEXPOSED_EXPR", "2 1 CALL_EXPR - b", "4 0 UNEXPOSED_EXPR"],
+    "v from p": ["-1 0 BINARY_OPERATOR", "0 0 DECL_REF_EXPR v", "0 1 PAREN_EXPR", "2 0 DECL_REF_EXPR p"],
+    "w from v": ["-1 0 DECL_STMT", "0 0 VAR_DECL w", "1 0 CSTYLE_CAST_EXPR", "2 0 DECL_REF_EXPR v"],
+    "a call with w": ["-1 0 CALL_EXPR - a", "0 0 UNEXPOSED_EXPR", "0 1 DECL_REF_EXPR w"],
+    "a call with a member of p and a cast of q": ["-1 0 CALL_EXPR - a", "0 0 UNEXPOSED_EXPR", "0 1 UNARY_OPERATOR", "2 0 MEMBER_REF_EXPR", "3 0 DECL_REF_EXPR p", "0 2 CSTYLE_CAST_EXPR", "5 0 DECL_REF_EXPR q"],
+    "a return of a sum": ["-1 0 RETURN_STMT", "0 0 BINARY_OPERATOR", "1 0 CALL_EXPR - a", "2 0 UNEXPOSED_EXPR", "1 1 INTEGER_LITERAL"],
+    "a call of a call": ["-1 0 CALL_EXPR - a", "0 0 UNEXPOSED_EXPR", "0 1 CALL_EXPR - b", "2 0 UNEXPOSED_EXPR", "2 1 DECL_REF_EXPR p"],
+}
+
+
+def _form_rows() -> str:
+    cells = ([m, o, *(*node.split(), "-", "-")[:5]] for m, nodes in enumerate(_FORMS.values()) for o, node in enumerate(nodes))
+    return ", ".join(f"({m}, {o}, {up}, {pos}, '{kind}', '{var}', '{call}')" for m, o, up, pos, kind, var, call in cells)
+
+
+FORMS = f"SELECT * FROM (VALUES {_form_rows()}) AS t(m, o, up, pos, kind, var, which)"
+
+#: The statements with one of the forms each (m) and what its calls are: under 30 an API, else a logging helper.
+SHAPED = f"SELECT f, r, part, (part + r) % {len(_FORMS)} AS m, part % 40 AS a, (part * 7 + 3) % 40 AS b FROM statements"
+
+#: Bodies of these statements as nodes, a call with its number j.
+DEEP_NODES = """
+SELECT s.f, s.r, s.m, 40 * s.r + t.o AS node_id, CASE WHEN t.up < 0 THEN 3 ELSE 40 * s.r + t.up END AS parent_id, CASE WHEN t.up < 0 THEN s.r ELSE t.pos END AS child_pos,
+       t.kind, t.var, t.o, t.which, CASE t.which WHEN 'a' THEN s.a WHEN 'b' THEN s.b END AS j
+FROM shaped s JOIN forms t ON t.m = s.m
+"""
+DEEP = f"""
+SELECT translation_unit, function_key, cast(node_id AS int) AS node_id, cast(parent_id AS int) AS parent_id, cast(child_pos AS int) AS child_pos, cast(node_id AS int) AS pre,
+       cast(NULL AS int) AS depth, kind, spelling, ref_kind, var_key, callee, callee_key, cast(f % 1000 AS int) AS line, cast(node_id AS int) AS col, tokens
+FROM (
+SELECT DISTINCT f, {_NODE}, 0 AS node_id, NULL AS parent_id, 0 AS child_pos, 'FUNCTION_DECL' AS kind, concat('f', f) AS spelling, NULL AS ref_kind, NULL AS var_key, NULL AS callee,
+       NULL AS callee_key, CASE WHEN f % 5 = 0 THEN 'void' ELSE 'int' END AS tokens FROM shaped
+UNION ALL SELECT DISTINCT f, {_NODE}, 1, 0, 0, 'PARM_DECL', 'p', NULL, 'p', NULL, NULL, NULL FROM shaped
+UNION ALL SELECT DISTINCT f, {_NODE}, 2, 0, 1, 'PARM_DECL', 'q', NULL, 'q', NULL, NULL, NULL FROM shaped WHERE f % 2 = 0
+UNION ALL SELECT DISTINCT f, {_NODE}, 3, 0, 2, 'COMPOUND_STMT', '', NULL, NULL, NULL, NULL, NULL FROM shaped
+UNION ALL SELECT d.f, {_NODE}, d.node_id, d.parent_id, d.child_pos, d.kind, CASE d.kind WHEN 'VAR_DECL' THEN d.var ELSE '' END,
+       CASE WHEN d.kind = 'DECL_REF_EXPR' THEN CASE WHEN d.var IN ('p', 'q') THEN 'PARM_DECL' ELSE 'VAR_DECL' END END, CASE WHEN d.var <> '-' THEN d.var END,
+       CASE WHEN d.j < 30 THEN c.api WHEN d.j >= 30 THEN 'log_it' END, CASE WHEN d.j < 30 THEN concat('c:@F@', c.api) WHEN d.j >= 30 THEN 'c:@F@log_it' END, NULL
+       FROM deep_nodes d LEFT JOIN catalog c ON c.n = d.j
+) n
+"""
+
+VIEWS = {"catalog": CATALOG, "all_defs": DEFS, "defs": "SELECT * FROM all_defs WHERE part % 10 < 7", "edges": EDGES, "diagnostics": DIAGNOSTICS, "named": NAMED, "bodies": BODIES, "statements": STATEMENTS, "ast": AST, "forms": FORMS, "shaped": SHAPED, "deep_nodes": DEEP_NODES, "deep": DEEP}
+_NEEDS = {
+    "defs": ("all_defs",), "edges": ("all_defs",), "named": ("catalog",), "ast": ("catalog", "statements"), "shaped": ("statements",),
+    "deep_nodes": ("statements", "shaped", "forms"), "deep": ("catalog", "statements", "shaped", "forms", "deep_nodes"),
+}
+_TABLES = {"all_defs": ("part",), "defs": ("part",), "edges": ("part", "lineitem"), "diagnostics": ("events",), "named": ("part",), "catalog": (), "bodies": ("lineitem",), "statements": ("lineitem",), "ast": (), "forms": (), "shaped": (), "deep_nodes": (), "deep": ()}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
