@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.checkpoints import cut_lineage
 from graphloom.functions.text import join_api_names, normalize, pair_ratio, split_api_names, token_overlap, tokenize
 
 NO_TEXT = ("", "-", "n/a", "N/A")
@@ -83,8 +84,9 @@ def best_api(rows: DataFrame, key: str = "function_key") -> DataFrame:
 
 
 def tiered(rows: DataFrame, threshold: int) -> DataFrame:
-    """Rows with tier (0: good score and high fan-in, 1: good score, 2: high fan-in, 3: the rest) in rank order."""
+    """Rows with tier (0: good score and high fan-in, 1: good score, 2: high fan-in, 3: the rest) in rank order. Scores are
+    written before the sort, which reads its input twice."""
     good = F.col("score") >= 0.5
     high = F.col("fan_in") >= threshold
     tier = F.when(good & high, 0).when(good, 1).when(high, 2).otherwise(3)
-    return rows.withColumn("tier", tier).orderBy("tier", F.desc("fan_in"), F.desc("score"), "function")
+    return cut_lineage(rows.withColumn("tier", tier)).orderBy("tier", F.desc("fan_in"), F.desc("score"), "function")

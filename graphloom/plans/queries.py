@@ -195,6 +195,14 @@ def reach_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.reachable(_calls(spark, sf_dir)[2]).select("caller", "callee")
 
 
+@query(_REACH + """, nodes AS (SELECT a AS n FROM calls UNION SELECT b FROM calls),
+  mates AS (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a), part AS (SELECT n, least(n, coalesce((SELECT min(b) FROM mates WHERE a = n), n)) AS component FROM nodes),
+  counted AS (SELECT a, count(*) AS reached FROM reach GROUP BY a)
+SELECT component, count(*) AS members, coalesce(max(counted.reached), 0) AS reached FROM part LEFT JOIN counted ON counted.a = part.n GROUP BY component""")
+def reach_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closure.reach_classes(_calls(spark, sf_dir)[2])
+
+
 @query(_REACH + """, t AS (SELECT function_key, api FROM defs JOIN catalog ON n = part % 30), hit AS (
   SELECT function_key, api FROM t UNION SELECT reach.a, t.api FROM reach JOIN t ON t.function_key = reach.b)
 SELECT function_key, string_agg(DISTINCT api, ' - ' ORDER BY api) AS apis FROM hit GROUP BY 1""")
