@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary folder in local mode, an error on a cluster."""
     sc = spark.sparkContext
     if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
@@ -22,7 +22,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -30,7 +30,7 @@ class Grown:
     """A table that grows round by round, as Parquet in the shared folder: all rounds are one scan, however many there are."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self.paths, self.schema = spark, f"{_shared_folder(spark)}/grown-{uuid.uuid4().hex}", [], None
+        self.spark, self.folder, self.paths, self.schema = spark, f"{shared_folder(spark)}/grown-{uuid.uuid4().hex}", [], None
 
     def add(self, df: DataFrame) -> DataFrame:
         """Write a round and return it."""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom import sinks
 from graphloom.functions import text as X
 from graphloom.functions.scoring import has_catalog_api, strong_without_api, wrapper_score
 from graphloom.operators import callgraph, closure, fuzzy, merge, paths, resolve
@@ -178,6 +179,47 @@ def top_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callgraph.top(callgraph.callee_summary(_graph(spark, sf_dir)[0]), "edges", "callee")
 
 
+# ---- order of the reports --------------------------------------------------------------------
+
+
+def _placed(order: str, columns: str, rows: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS position, {columns} FROM ({rows})"
+
+
+@query(_placed("translation_unit, loc, caller_key, callee_key, caller, callee", "translation_unit, loc, caller_key, callee_key", _EDGES + _DEDUPED + " SELECT * FROM dd"))
+def edges_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, defs = _graph(spark, sf_dir)
+    return sinks.with_positions(callgraph.edge_rows(callgraph.enriched_edges(edges, defs)).select("translation_unit", "loc", "caller_key", "callee_key"))
+
+
+@query(_placed("total_calls DESC, unique_caller_count DESC, callee_key", "callee_key, total_calls", _COUNTS))
+def call_counts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.with_positions(call_counts(spark, sf_dir).select("callee_key", "total_calls"))
+
+
+@query(_placed("unique_caller_count DESC, total_calls DESC, callee_key", "callee_key, unique_caller_count", _COUNTS))
+def callers_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.with_positions(call_counts_by_callers(spark, sf_dir).select("callee_key", "unique_caller_count"))
+
+
+@query(_placed("fan_in DESC, fan_out DESC, function, file, line, function_key", "function_key, fan_in, fan_out", _fan_oracle()))
+def fans_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.with_positions(fan_summary(spark, sf_dir).select("function_key", "fan_in", "fan_out"))
+
+
+@query(_placed("translation_unit", "translation_unit, exported_edge_count", ORACLES["tu_report"]))
+def units_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.with_positions(tu_report(spark, sf_dir).select("translation_unit", "exported_edge_count"))
+
+
+_EVIDENCE_ORDER = "translation_unit, callsite_file, callsite_line, callsite_column, match_kind, caller_key, callee_key, caller, callee"
+
+
+@query(_placed(f"CASE direction WHEN 'incoming' THEN 0 ELSE 1 END, {_EVIDENCE_ORDER}", f"direction, {_EVIDENCE_ORDER}", ORACLES["edge_evidence"]))
+def evidence_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.with_positions(edge_evidence(spark, sf_dir).select("direction", *_EVIDENCE_ORDER.split(", ")))
+
+
 # ---- reachability ----------------------------------------------------------------------------
 
 _CALLS = prelude("defs", "edges", "catalog") + _NAMES + f""", dd AS (SELECT * FROM edges), calls AS (
@@ -431,12 +473,21 @@ def row_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(prelude("bodies") + """ SELECT func, bit_or(CASE kind WHEN 'CALL' THEN 2 WHEN 'IF' THEN 3 ELSE 1 END) AS mask FROM bodies GROUP BY func""")
+def path_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements of a body as branches: the union of their counts."""
+    return _masked(spark, sf_dir).groupBy("func").agg(paths.merge_masks("mask").alias("mask"))
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.when(F.col("kind") == "CALL", paths.ONE).when(F.col("kind") == "IF", paths.ZERO | paths.ONE).otherwise(paths.ZERO)
+    return view(spark, sf_dir, "bodies").withColumn("mask", mask)
+
+
 @query(prelude("bodies") + """, s AS (SELECT func, count(*) FILTER (WHERE kind = 'CALL') AS c, count(*) FILTER (WHERE kind = 'IF') AS i FROM bodies GROUP BY 1)
 SELECT func, (CASE WHEN least(c, 2) <= 0 THEN 1 ELSE 0 END) + (CASE WHEN c <= 1 AND c + i >= 1 THEN 2 ELSE 0 END) + (CASE WHEN c + i >= 2 THEN 4 ELSE 0 END) AS mask FROM s""")
 def path_mask_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "bodies")
-    mask = F.when(F.col("kind") == "CALL", paths.ONE).when(F.col("kind") == "IF", paths.ZERO | paths.ONE).otherwise(paths.ZERO)
-    return rows.withColumn("mask", mask).groupBy("func").agg(paths.saturating_sum(F.collect_list("mask")).alias("mask"))
+    return _masked(spark, sf_dir).groupBy("func").agg(paths.saturating_sum(F.collect_list("mask")).alias("mask"))
 
 
 @query(
