@@ -43,13 +43,16 @@ def parser() -> argparse.ArgumentParser:
         return f
 
     finder("finder")
+    ratio = {"choices": ("substring", "weighted"), "default": "substring", "help": "how names are compared"}
     for name in ("pipeline", "run"):
         f = finder(name)
+        f.add_argument("--ratio", **ratio)
         f.add_argument("--fuzzy-out")
         if name == "run":
             f.add_argument("--no-fuzzy", action="store_true")
     z = sub.add_parser("fuzzy")
     z.add_argument("csv")
+    z.add_argument("--ratio", **ratio)
     z.add_argument("--yaml", required=True)
     z.add_argument("--groups")
     z.add_argument("--out")
@@ -108,7 +111,7 @@ def run_finder(spark: SparkSession, args: argparse.Namespace) -> str | None:
 
 def run_fuzzy(spark: SparkSession, args: argparse.Namespace, source: str, out: str | None = None) -> str:
     catalog, _, _ = _catalog(spark, args)
-    rows = pipelines.score_rows(catalogs.read_wrapper_csv(spark, source), catalog)
+    rows = pipelines.score_rows(catalogs.read_wrapper_csv(spark, source), catalog, args.ratio)
     stem = os.path.splitext(os.path.basename(source))[0] + "._fuzzy_scored.csv"
     path = out or os.path.join(args.out_dir or os.path.dirname(os.path.abspath(source)), stem)
     sinks.write_report(rows.select(*sinks.SCORED_COLUMNS), path)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.ratios import name_ratio
 from graphloom.functions.text import common_substring, normalize, strip_affixes, tokenize
+from graphloom.session import ship
 
 GRAM = 3
 
@@ -21,9 +23,10 @@ def _grams(text) -> F.Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM)))))
 
 
-def fuzzy_scores(functions: DataFrame, canon: DataFrame, key: str = "function") -> DataFrame:
+def fuzzy_scores(functions: DataFrame, canon: DataFrame, key: str = "function", ratio: str = "substring") -> DataFrame:
     """key and, for every canonical name that shares at least three characters in a row with one of its tokens (or is
-    equal), exact, token_equal, lcs_len and combined.
+    equal), exact, token_equal, lcs_len, combined and rf_score: ``combined`` again, or with ``ratio`` "weighted" the larger of the
+    weighted and the token-set ratio, in Arrow batches.
 
     The common substring of at least three characters is an equi-join on 3-grams, so no pair without one is made; names are
     compared once, however many rows have them."""
@@ -46,19 +49,26 @@ def fuzzy_scores(functions: DataFrame, canon: DataFrame, key: str = "function")
         ),
     )
     exact = F.col("fn_norm") == F.col("norm")
+    if ratio not in ("substring", "weighted"):
+        raise ValueError(f"ratio must be substring or weighted: {ratio}")
+    ship(functions.sparkSession)
+    weighted = name_ratio(F.col("fn_norm"), F.col("norm")) if ratio == "weighted" else F.lit(None).cast("double")
     return (
-        pairs.withColumn("w", walked)
+        pairs.withColumn("weighted", weighted)
+        .withColumn("w", walked)
         .select(
             "function", "key", exact.alias("exact"),
             (F.array_sort(F.array_distinct("fn_tokens")) == F.array_sort(F.array_distinct("tokens"))).alias("token_equal"),
             F.col("w.lcs").alias("lcs_len"),
-            F.when(exact, 100.0).otherwise(F.least(F.lit(100.0), F.lit(100.0) * F.col("w.ratio"))).alias("combined"),
+            F.when(exact, 100.0).otherwise(F.least(F.lit(100.0), F.lit(100.0) * F.col("w.ratio"))).alias("combined"), "weighted",
         )
         .filter("lcs_len >= 3 OR exact")
+        .withColumn("rf_score", F.coalesce("weighted", "combined"))
+        .drop("weighted")
     )
 
 
 def top_matches(scores: DataFrame, k: int = 3) -> DataFrame:
     """The k best canonical names of each function, with rank."""
-    order = [F.desc("combined"), F.desc("exact"), F.desc("token_equal"), F.desc("lcs_len"), F.asc("key")]
+    order = [F.desc("rf_score"), F.desc("exact"), F.desc("token_equal"), F.desc("lcs_len"), F.desc("combined"), F.asc("key")]
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("function").orderBy(*order))).filter(F.col("rank") <= k)

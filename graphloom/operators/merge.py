@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.checkpoints import cut_lineage
+from graphloom.functions.ratios import name_ratio
 from graphloom.functions.text import join_api_names, normalize, pair_ratio, split_api_names, token_overlap, tokenize
+from graphloom.session import ship
 
 NO_TEXT = ("", "-", "n/a", "N/A")
 
@@ -70,16 +72,18 @@ def fan_in_threshold(rows: DataFrame, column: str = "fan_in") -> DataFrame:
 API_RATIO_MIN, API_COMBINED_MIN, API_OVERLAP_MIN = 86.0, 72.0, 0.60
 
 
-def best_api(rows: DataFrame, key: str = "function_key") -> DataFrame:
-    """key, best_api: of the row's APIs the one most like the function's name (ratio, overlap, then order), empty unless
-    it is strong."""
+def best_api(rows: DataFrame, key: str = "function_key", ratio: str = "substring") -> DataFrame:
+    """key, best_api: of the row's APIs the one most like the function's name (ratio, common substring, overlap, then order),
+    empty unless it is strong. ``ratio`` as in ``fuzzy.fuzzy_scores``."""
     apis = rows.select(key, "function", F.posexplode(split_api_names(F.col("api_called"))).alias("pos", "api"))
     combined = pair_ratio(normalize(F.col("function")), normalize(F.col("api")))
     overlap = F.when(normalize(F.col("function")) == "", 0.0).otherwise(token_overlap(tokenize(F.col("function")), tokenize(F.col("api"))))
-    scored = apis.withColumn("combined", combined).withColumn("overlap", overlap)
-    rank = F.struct("combined", "overlap", (-F.col("pos")).alias("back"))
-    best = scored.groupBy(key).agg(F.max_by(F.struct("api", "combined", "overlap"), rank).alias("best"))
-    strong = (F.col("best.combined") >= API_RATIO_MIN) & (F.col("best.combined") >= API_COMBINED_MIN) & (F.col("best.overlap") >= API_OVERLAP_MIN)
+    ship(rows.sparkSession)
+    rf = name_ratio(normalize(F.col("function")), normalize(F.col("api"))) if ratio == "weighted" else F.col("combined")
+    scored = apis.withColumn("combined", combined).withColumn("overlap", overlap).withColumn("rf", rf)
+    rank = F.struct("rf", "combined", "overlap", (-F.col("pos")).alias("back"))
+    best = scored.groupBy(key).agg(F.max_by(F.struct("api", "rf", "combined", "overlap"), rank).alias("best"))
+    strong = (F.col("best.rf") >= API_RATIO_MIN) & (F.col("best.combined") >= API_COMBINED_MIN) & (F.col("best.overlap") >= API_OVERLAP_MIN)
     return best.select(key, F.when(strong, F.col("best.api")).otherwise("").alias("best_api"))
 
 

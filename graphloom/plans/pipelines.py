@@ -43,21 +43,22 @@ def find_wrappers(nodes: DataFrame, catalog: DataFrame, mode: str = "accurate",
     return out.na.fill(0, ["fan_in", "fan_out"]).na.fill("unknown", ["category"])
 
 
-def score_rows(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Scored and ranked wrapper rows (function, api_called, callee, category, fan_in, fan_out, reason, arg_pass, ret_pass, location)."""
+def score_rows(rows: DataFrame, catalog: DataFrame, ratio: str = "substring") -> DataFrame:
+    """Scored and ranked wrapper rows (function, api_called, callee, category, fan_in, fan_out, reason, arg_pass, ret_pass, location).
+    ``ratio`` as in ``fuzzy.fuzzy_scores``."""
     threshold = merge.fan_in_threshold(rows).first()["threshold"]  # one row, of the input: scores do not change fan_in
     rows = rows.withColumn("_id", F.monotonically_increasing_id())
-    best = fuzzy.top_matches(fuzzy.fuzzy_scores(rows, fuzzy.canon_table(catalog)), 1).select("function", F.col("key").alias("fuzzy_key"), "combined")
-    rows = rows.join(best, "function", "left").na.fill("", ["fuzzy_key"]).na.fill(0.0, ["combined"])
-    strong = merge.best_api(rows, "_id")
+    best = fuzzy.top_matches(fuzzy.fuzzy_scores(rows, fuzzy.canon_table(catalog), ratio=ratio), 1).select("function", F.col("key").alias("fuzzy_key"), "combined", "rf_score")
+    rows = rows.join(best, "function", "left").na.fill("", ["fuzzy_key"]).na.fill(0.0, ["combined", "rf_score"])
+    strong = merge.best_api(rows, "_id", ratio)
     rows = rows.join(strong, "_id", "left").na.fill("", ["best_api"])
     for column in ("best_api", "fuzzy_key"):
         rows = _with_group(rows, catalog, column)
     by_name = F.when(F.col("best_api") != "", F.col("_grp_best_api")).when(X.is_na_category(F.col("category")) & (F.col("fuzzy_key") != ""), F.col("_grp_fuzzy_key"))
     rows = rows.withColumn("category", F.coalesce(by_name, F.col("category")))
-    args = [F.col(c) for c in ("function", "api_called", "callee", "fan_out", "fuzzy_key", "combined", "combined", "category", "reason", "arg_pass", "ret_pass")]
+    args = [F.col(c) for c in ("function", "api_called", "callee", "fan_out", "fuzzy_key", "combined", "rf_score", "category", "reason", "arg_pass", "ret_pass")]
     rows = rows.withColumn("score", wrapper_score(*args))
-    shown = has_catalog_api(F.col("api_called"), F.col("category")) | strong_without_api(F.col("function"), F.col("fuzzy_key"), F.col("combined"), F.col("combined"))
+    shown = has_catalog_api(F.col("api_called"), F.col("category")) | strong_without_api(F.col("function"), F.col("fuzzy_key"), F.col("combined"), F.col("rf_score"))
     rows = rows.withColumn("fuzzy_match", F.when(shown, F.col("fuzzy_key")).otherwise("NO_MATCH")).withColumn("likelihood_score", X.likelihood(F.col("score")))
     return merge.tiered(rows, threshold)
 

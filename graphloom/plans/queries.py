@@ -337,10 +337,21 @@ _FUZZY = (
 @query(_N + _FUZZY + " SELECT function, key, exact, token_equal, lcs_len, round(combined, 6) AS combined, rank FROM ranked WHERE rank <= 3")
 def fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     canon = fuzzy.canon_table(view(spark, sf_dir, "catalog"))
-    found = fuzzy.top_matches(fuzzy.fuzzy_scores(view(spark, sf_dir, "named"), canon))
+    return _matches(fuzzy.top_matches(fuzzy.fuzzy_scores(view(spark, sf_dir, "named"), canon))).drop("rf_score")
+
+
+def _matches(found: DataFrame) -> DataFrame:
     return found.withColumn("combined", F.round("combined", 6)).withColumn("lcs_len", F.col("lcs_len").cast("long")).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query()
+def fuzzy_topk_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the weighted and token-set ratios; tests hold those against plain definitions."""
+    canon = fuzzy.canon_table(view(spark, sf_dir, "catalog"))
+    found = _matches(fuzzy.top_matches(fuzzy.fuzzy_scores(view(spark, sf_dir, "named"), canon, ratio="weighted")))
+    return found.withColumn("rf_score", F.round("rf_score", 6))
+
+
 _APIS = "list_filter(list_transform(string_split(coalesce(api_called, ''), ' - '), lambda x: trim(x)), lambda x: x <> '' AND lower(x) <> 'other')"
 _EXPLODED = f", ex AS (SELECT part, function, unnest({_APIS}) AS api, generate_subscripts({_APIS}, 1) AS pos FROM named), fx AS (SELECT part, function, api, min(pos) AS pos FROM ex GROUP BY ALL)"
 
