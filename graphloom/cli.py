@@ -1,4 +1,4 @@
-"""Command line: finder (wrappers, call graph, edge evidence), fuzzy (scores), pipeline and run (both)."""
+"""Command line: entries (compile databases), finder (wrappers, call graph, edge evidence), fuzzy (scores), pipeline and run (both)."""
 
 from __future__ import annotations
 
@@ -11,9 +11,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import sinks
-from graphloom.operators import ast, callgraph
+from graphloom.checkpoints import cut_lineage
+from graphloom.operators import ast, callgraph, resolve
 from graphloom.plans import pipelines
 from graphloom.sources import catalog as catalogs
+from graphloom.sources import compile_db
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
         f.add_argument("--unique-callers", action="store_true")
         f.add_argument("--all-columns", action="store_true")
         f.add_argument("--project-root", action="append", default=[])
+        f.add_argument("--project-only", action="store_true", help="without --project-root: only what lies under the folder that all units outside the system share")
         f.add_argument("--treat-thin-alias", choices=("default", "direct-only", "allow-1-hop"), default="default")
         return f
 
@@ -50,6 +53,13 @@ def parser() -> argparse.ArgumentParser:
         f.add_argument("--fuzzy-out")
         if name == "run":
             f.add_argument("--no-fuzzy", action="store_true")
+    e = sub.add_parser("entries", help="cleaned arguments of a compile database's sources")
+    e.add_argument("--compile-commands", required=True, help="JSON list of entries")
+    e.add_argument("--out", required=True, help="table of src, args and ord (Parquet)")
+    e.add_argument("--path-map", action="append", default=[], metavar="OLD=NEW", help="where sources that are not known may be; needs --known-files")
+    e.add_argument("--known-files", help="table of path (Parquet)")
+    e.add_argument("--response-files", help="folder of files named by @file arguments")
+    e.add_argument("--verbose", action="store_true", help="print how many entries were left out, and why")
     z = sub.add_parser("fuzzy")
     z.add_argument("csv")
     z.add_argument("--ratio", **ratio)
@@ -86,6 +96,10 @@ def run_finder(spark: SparkSession, args: argparse.Namespace) -> str | None:
     if args.callgraph_only and not (args.callgraph_out or args.edge_evidence):
         raise SystemExit("--callgraph-only needs --callgraph-out or --edge-evidence")
     nodes = spark.read.parquet(args.ast_nodes)
+    roots = args.project_root
+    if args.project_only and not roots:
+        root = resolve.common_root(resolve.outside_system(nodes.select("translation_unit"), "translation_unit"), "translation_unit")
+        roots = [root] if root else []
     edges, defs = ast.call_edges(nodes), pipelines.definitions(nodes)
     if args.edge_evidence:
         asked = spark.createDataFrame([callgraph.resolve_edge_query(defs, args.edge_evidence)], defs.schema)
@@ -100,7 +114,7 @@ def run_finder(spark: SparkSession, args: argparse.Namespace) -> str | None:
     if args.callgraph_only:
         return None
     catalog, helpers, thin = _catalog(spark, args)
-    rows = pipelines.find_wrappers(nodes, catalog, args.mode, args.project_root, helpers, thin, args.treat_thin_alias)
+    rows = pipelines.find_wrappers(nodes, catalog, args.mode, roots, helpers, thin, args.treat_thin_alias)
     path = _target(args, f"wrappers.{args.output}")
     sinks.write_report(sinks.wrapper_report(rows, args.all_columns), path, args.output)
     if path != "-":
@@ -109,6 +123,19 @@ def run_finder(spark: SparkSession, args: argparse.Namespace) -> str | None:
     return path
 
 
+def run_entries(spark: SparkSession, args: argparse.Namespace) -> None:
+    maps = [tuple(m.split("=", 1)) for m in args.path_map]
+    if any(len(m) != 2 for m in maps) or (maps and not args.known_files):
+        raise ValueError("--path-map takes OLD=NEW and needs --known-files")
+    known = spark.read.parquet(args.known_files) if args.known_files else None
+    responses = compile_db.read_response_files(spark, args.response_files) if args.response_files else None
+    checked = cut_lineage(compile_db.checked_entries(compile_db.read_compile_db(spark, args.compile_commands), maps, known, responses))
+    compile_db.accepted_entries(checked).write.parquet(args.out)
+    if args.verbose:
+        for r in compile_db.rejected_entries(checked).orderBy("problem").collect():  # a row a problem
+            print(f"left out, {r['problem']}: {r['entries']}", file=sys.stderr)
+
+
 def run_fuzzy(spark: SparkSession, args: argparse.Namespace, source: str, out: str | None = None) -> str:
     catalog, _, _ = _catalog(spark, args)
     rows = pipelines.score_rows(catalogs.read_wrapper_csv(spark, source), catalog, args.ratio)
@@ -122,6 +149,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("graphloom").getOrCreate()
     try:
+        if args.command == "entries":
+            run_entries(spark, args)
+            return 0
         if args.command == "fuzzy":
             run_fuzzy(spark, args, args.csv, args.out)
             return 0

@@ -192,9 +192,14 @@ def rejected_entries(checked: DataFrame) -> DataFrame:
     return checked.filter("problem IS NOT NULL").groupBy("problem").agg(F.count(F.lit(1)).alias("entries"))
 
 
-def normalize_entries(entries: DataFrame, path_maps: list[tuple[str, str]] | None = None, known_files: DataFrame | None = None, responses: DataFrame | None = None) -> DataFrame:
-    """src, args and ord, one row for each source: the last entry of a source holds, at the place of its first; entries with
-    a problem are left out."""
-    good = checked_entries(entries, path_maps, known_files, responses).filter("problem IS NULL")
+def accepted_entries(checked: DataFrame) -> DataFrame:
+    """src, args and ord, one row for each source of the entries without a problem: the last entry of a source holds, at the place
+    of its first."""
+    good = checked.filter("problem IS NULL")
     args = good.select("ord", "src", clean_arguments(F.col("tokens"), F.col("src"), F.col("directory")).alias("args"))
     return args.groupBy("src").agg(F.max_by("args", "ord").alias("args"), F.min("ord").alias("ord"))
+
+
+def normalize_entries(entries: DataFrame, path_maps: list[tuple[str, str]] | None = None, known_files: DataFrame | None = None, responses: DataFrame | None = None) -> DataFrame:
+    """Cleaned arguments of every source; entries with a problem are left out."""
+    return accepted_entries(checked_entries(entries, path_maps, known_files, responses))

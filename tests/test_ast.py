@@ -1,6 +1,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import ast, paths
 from graphloom.plans import pipelines
@@ -168,6 +169,10 @@ def test_wrappers_end_to_end(spark, tmp_path):
     assert cli.main(["finder", *common, "--edge-evidence", "my_open", "--out", str(tmp_path / "e.jsonl"), "--output", "jsonl"], spark) == 0
     assert len((tmp_path / "e.jsonl").read_text().splitlines()) >= 3
     assert cli.main(["finder", *common, "--edge-evidence", "missing"], spark) == 1
+    moved = nodes.withColumn("translation_unit", F.when(F.col("translation_unit") == "u.c", "/src/lib/u.c").otherwise("/usr/include/v.c"))
+    moved.unionByName(nodes.filter("translation_unit = 'v.c'").withColumn("translation_unit", F.lit("/src/app/v.c"))).write.parquet(str(tmp_path / "moved"))
+    only = ["finder", "--ast-nodes", str(tmp_path / "moved"), *common[2:], "--project-only", "--out", str(tmp_path / "own.csv")]
+    assert cli.main(only, spark) == 0 and "/usr/include" not in (own := (tmp_path / "own.csv").read_text()) and "/src/" in own
 
 
 def test_deep_bodies(spark):

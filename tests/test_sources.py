@@ -77,6 +77,19 @@ def test_rejected_entries(spark):
     assert got == {"no file": 2, "unknown source": 2, "open quote": 1}
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from graphloom import cli
+
+    rows = [{"directory": "/p", "file": "a.c", "command": "cc -DONE a.c"}, {"directory": "/p", "command": "cc"}, {"directory": "/p", "file": "gone.c", "command": "cc"}]
+    (tmp_path / "cc.json").write_text(json.dumps(rows))
+    spark.createDataFrame([("/q/a.c",)], "path string").write.parquet(str(tmp_path / "known"))
+    given = ["entries", "--compile-commands", str(tmp_path / "cc.json"), "--out", str(tmp_path / "args"), "--path-map", "/p=/q", "--verbose"]
+    assert cli.main(given, spark) == 1
+    assert cli.main([*given, "--known-files", str(tmp_path / "known")], spark) == 0
+    assert [(r["src"], "-DONE" in r["args"]) for r in spark.read.parquet(str(tmp_path / "args")).collect()] == [("/q/a.c", True)]
+    assert "left out, no file: 1" in (err := capsys.readouterr().err) and "left out, unknown source: 1" in err
+
+
 def test_broken_databases(spark, tmp_path):
     for k, text in enumerate(['[{"file": "a.c", "directory": "/p"}, {"file": "b', "[1, 2]", '[{"file": "a.c"}']):
         path = tmp_path / f"{k}.json"
