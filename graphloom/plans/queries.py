@@ -11,7 +11,7 @@ from graphloom import sinks
 from graphloom.functions import text as X
 from graphloom.functions.scoring import has_catalog_api, strong_without_api, wrapper_score
 from graphloom.operators import callgraph, closure, fuzzy, merge, paths, resolve
-from graphloom.plans.views import prelude, view
+from graphloom.plans.views import VIEWS, prelude, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -255,6 +255,28 @@ def reach_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("function_key", F.array_join(F.array_sort("apis"), " - ").alias("apis"))
 
 
+_OWN = ", t AS (SELECT function_key, api FROM defs JOIN catalog ON n = part % 30), hit AS (SELECT function_key, api FROM t UNION SELECT reach.a, t.api FROM reach JOIN t ON t.function_key = reach.b)"
+
+
+def _add_reached() -> str:
+    """Own APIs in their order, then reached ones by name."""
+    return (
+        _REACH + _OWN + f", named AS ({VIEWS['named']})" + _EXPLODED
+        + """, more AS (SELECT part, hit.api, 1000 + row_number() OVER (PARTITION BY part ORDER BY hit.api) AS pos FROM named JOIN hit USING (function_key)),
+        every AS (SELECT part, api, min(pos) AS pos FROM (SELECT part, api, pos FROM fx UNION ALL SELECT part, api, pos FROM more) GROUP BY part, api)
+        SELECT named.part, coalesce(string_agg(every.api, ' - ' ORDER BY every.pos), '') AS api_called FROM named LEFT JOIN every ON every.part = named.part GROUP BY named.part"""
+    )
+
+
+def enriched_apis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reached APIs appended to those of wrapper rows."""
+    _, defs, calls = _calls(spark, sf_dir)
+    own = defs.join(view(spark, sf_dir, "catalog"), F.col("n") == F.col("part") % 30)
+    found = closure.reached_targets(calls, own.select("function_key", "api", F.struct(F.lit(0).alias("o")).alias("ord")))
+    rows = view(spark, sf_dir, "named").select("part", "function_key", "api_called")
+    return closure.enrich_rows(rows, found.select("function_key", F.array_sort("apis").alias("apis"))).select("part", "api_called")
+
+
 @query(_REACH + f""", direct AS (SELECT DISTINCT {_resolved('caller')} AS a, callee FROM dd WHERE {_resolved('caller')} IS NOT NULL), hit AS (
   SELECT a, callee FROM direct UNION SELECT reach.a, d.callee FROM reach JOIN direct d ON d.a = reach.b)
 SELECT a AS function_key, string_agg(DISTINCT callee, ' - ' ORDER BY callee) AS names FROM hit GROUP BY 1""")
@@ -356,6 +378,9 @@ _APIS = "list_filter(list_transform(string_split(coalesce(api_called, ''), ' - '
 _EXPLODED = f", ex AS (SELECT part, function, unnest({_APIS}) AS api, generate_subscripts({_APIS}, 1) AS pos FROM named), fx AS (SELECT part, function, api, min(pos) AS pos FROM ex GROUP BY ALL)"
 
 
+query(_add_reached())(enriched_apis)
+
+
 @query(_N + _EXPLODED + " SELECT part, count(*) AS n, string_agg(api, ' - ' ORDER BY pos) AS apis FROM fx GROUP BY 1")
 def split_api_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     apis = X.split_api_names(F.col("api_called"))
