@@ -78,9 +78,9 @@ def _catalog(spark: SparkSession, args: argparse.Namespace):
     groups = catalogs.load_groups(spark, args.groups) if args.groups else None
     catalog, helpers, thin = catalogs.load_catalog(spark, args.yaml, groups)
     if getattr(args, "only_libc", False):
-        catalog = catalog.filter("grp <> 'system_calls'")
+        catalog = catalogs.target_subset(catalog, "libc")
     if getattr(args, "only_syscalls", False):
-        catalog = catalog.filter("grp = 'system_calls'")
+        catalog = catalogs.target_subset(catalog, "system_calls")
     return catalog, [tuple(r) for r in helpers.collect()], [r["api"] for r in thin.collect()]  # configuration
 
 
@@ -138,7 +138,7 @@ def run_entries(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_fuzzy(spark: SparkSession, args: argparse.Namespace, source: str, out: str | None = None) -> str:
     catalog, _, _ = _catalog(spark, args)
-    rows = pipelines.score_rows(catalogs.read_wrapper_csv(spark, source), catalog, args.ratio)
+    rows = pipelines.score_rows(catalogs.read_wrapper_csv(spark, source), catalog, args.ratio, catalogs.load_canon(spark, [args.yaml]))
     stem = os.path.splitext(os.path.basename(source))[0] + "._fuzzy_scored.csv"
     path = out or os.path.join(args.out_dir or os.path.dirname(os.path.abspath(source)), stem)
     sinks.write_report(rows.select(*sinks.SCORED_COLUMNS), path)

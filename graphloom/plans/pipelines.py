@@ -43,12 +43,12 @@ def find_wrappers(nodes: DataFrame, catalog: DataFrame, mode: str = "accurate",
     return out.na.fill(0, ["fan_in", "fan_out"]).na.fill("unknown", ["category"])
 
 
-def score_rows(rows: DataFrame, catalog: DataFrame, ratio: str = "substring") -> DataFrame:
+def score_rows(rows: DataFrame, catalog: DataFrame, ratio: str = "substring", names: DataFrame | None = None) -> DataFrame:
     """Scored and ranked wrapper rows (function, api_called, callee, category, fan_in, fan_out, reason, arg_pass, ret_pass, location).
-    ``ratio`` as in ``fuzzy.fuzzy_scores``."""
+    ``ratio`` as in ``fuzzy.fuzzy_scores``; ``names`` (api): what functions are compared with, if not the catalog's."""
     threshold = merge.fan_in_threshold(rows).first()["threshold"]  # one row, of the input: scores do not change fan_in
     rows = rows.withColumn("_id", F.monotonically_increasing_id())
-    best = fuzzy.top_matches(fuzzy.fuzzy_scores(rows, fuzzy.canon_table(catalog), ratio=ratio), 1).select("function", F.col("key").alias("fuzzy_key"), "combined", "rf_score")
+    best = fuzzy.top_matches(fuzzy.fuzzy_scores(rows, fuzzy.canon_table(catalog if names is None else names), ratio=ratio), 1).select("function", F.col("key").alias("fuzzy_key"), "combined", "rf_score")
     rows = rows.join(best, "function", "left").na.fill("", ["fuzzy_key"]).na.fill(0.0, ["combined", "rf_score"])
     strong = merge.best_api(rows, "_id", ratio)
     rows = rows.join(strong, "_id", "left").na.fill("", ["best_api"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,37 @@ def load_catalog(spark: SparkSession, path: str, groups: DataFrame | None = None
     return catalog, spark.createDataFrame(listed, HELPERS), spark.createDataFrame([(str(t),) for t in thin], "api string")
 
 
+def target_subset(catalog: DataFrame, which: str) -> DataFrame:
+    """``libc``: the categories but ``system_calls``, or without categories the names listed under libc. ``system_calls``: that category,
+    or without it the names listed as system calls."""
+    if which == "libc":
+        return catalog.filter("grp = 'libc'") if catalog.filter("header <> ''").isEmpty() else catalog.filter("header NOT IN ('', 'system_calls')")
+    named = catalog.filter("header = 'system_calls'")
+    return catalog.filter("grp = 'system_calls'") if named.isEmpty() else named
+
+
+def _lists(value: object) -> Iterator[str]:
+    """The entries of a list, or of every list among a mapping's values."""
+    for entries in value.values() if isinstance(value, dict) else [value]:
+        if isinstance(entries, list):
+            yield from map(str, entries)
+
+
+def load_canon(spark: SparkSession, paths: list[str | None]) -> DataFrame:
+    """api: all names that names are compared with, from the first of the files that can be read: libc, system calls, families' APIs
+    and aliases, and every list of a category."""
+    import yaml
+
+    path = first_readable(paths)
+    if path is None:
+        raise ValueError("no catalog can be read")
+    with open(path, encoding="utf-8") as f:
+        data = yaml.safe_load(f) or {}
+    families = [v for family in (data.get("families") or {}).values() for k, v in (family or {}).items() if k in ("apis", "aliases")]
+    found = {n for part in (data.get("libc"), data.get("syscalls"), *families, *(data.get("categories") or {}).values()) for n in _lists(part)}
+    return spark.createDataFrame([(n,) for n in sorted(found)], "api string")
+
+
 def load_groups(spark: SparkSession, path: str) -> DataFrame:
     """header, grp: a line at the margin names a group, indented words are its headers, a header's first group holds."""
     with open(path, encoding="utf-8") as f:

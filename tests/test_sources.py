@@ -132,3 +132,20 @@ def test_wrapper_csv(spark, tmp_path):
     p.write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         catalog.read_wrapper_csv(spark, str(p))
+
+
+def test_catalog_subsets_and_names(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text(
+        "libc: [open, exit]\nsyscalls: [read]\nfamilies: {f: {apis: [fam], aliases: [fam2], notes: [no]}}\n"
+        "categories:\n  stdio.h: [fopen]\n  mixed: {apis: [send], more: [recv], count: 3}\n  system_calls: [read, write]\n"
+    )
+    names = {r["api"] for r in catalog.load_canon(spark, [None, str(tmp_path / "none.yaml"), str(tmp_path / "c.yaml")]).collect()}
+    assert names == {"open", "exit", "read", "fam", "fam2", "fopen", "send", "recv", "write"}
+    with pytest.raises(ValueError):
+        catalog.load_canon(spark, [None])
+    whole = catalog.load_catalog(spark, str(tmp_path / "c.yaml"))[0]
+    subset = lambda df, which: {r["api"] for r in catalog.target_subset(df, which).collect()}
+    assert subset(whole, "libc") == {"fopen", "send"} and subset(whole, "system_calls") == {"read", "write"}
+    (tmp_path / "d.yaml").write_text("libc: [open]\nsyscalls: [read]\n")
+    plain = catalog.load_catalog(spark, str(tmp_path / "d.yaml"))[0]
+    assert subset(plain, "libc") == {"open"} and subset(plain, "system_calls") == {"read"}
